@@ -12,7 +12,8 @@ WORD_CHAR = r"\p{L}\p{N}_"
 ANY_SPACE = r"\x09-\x0D\x1C-\x20\x85\p{Z}"
 LINE_END = r"\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}"
 PIECE = rf"[^{SPACE}]+"
-WORD_OR_MARK = rf"[{WORD_CHAR}]+|[^{WORD_CHAR}{SPACE}]"
+# A word run is taken whole (no backtracking), so what the second part meets is never a word character.
+WORD_OR_MARK = rf"[{WORD_CHAR}]++|[^{SPACE}]"
 TOKENIZERS = ("word", "word_or_mark", "char", "byte")
 
 

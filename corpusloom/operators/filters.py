@@ -36,7 +36,9 @@ def long_rows(corpus: DataFrame, min_chars: int = 20000, done_by: str = "gpt-4")
 
 def is_plain_prompt(prompt: Column, word: str = fixed.PROMPT_WORD) -> Column:
     """True for a lower-case prompt that is no translation, foreign-script or missing-spaces task."""
-    long_words = F.regexp_count(prompt, F.lit(rf"[{WORD_CHAR}]{{{fixed.LONG_WORD_CHARS},}}"))
+    # The look-behind skips the inside of short words; it cannot hide a match, since a match starts a word.
+    long_word = rf"(?<![{WORD_CHAR}])[{WORD_CHAR}]{{{fixed.LONG_WORD_CHARS},}}"
+    long_words = F.regexp_count(prompt, F.lit(long_word))
     return (
         ~F.contains(prompt, F.lit(word))
         & ~F.coalesce(latin_share(prompt) <= fixed.PROMPT_MAX_LATIN_SHARE, F.lit(False))
@@ -46,9 +48,9 @@ def is_plain_prompt(prompt: Column, word: str = fixed.PROMPT_WORD) -> Column:
 
 def looks_like_code(text: Column) -> Column:
     marks = F.lit(False)
-    for mark in ("```", "{", "std::", "#include"):
+    for mark in ("```", "{", "std::", "#include", " in range("):
         marks = marks | F.contains(text, F.lit(mark))
-    return marks | text.rlike(r"(^|\s)def | in range\(")
+    return marks | (F.contains(text, F.lit("def ")) & text.rlike(r"(^|\s)def "))
 
 
 def long_pairs(pairs: DataFrame, en: str, min_chars: int = 2000) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from corpusloom.operators.skew import salted_join
 from corpusloom.session import shared_folder
 
-HASH_BUCKETS = 4096
+HASH_BUCKETS = 1 << 14
 HASH_BITS = 32
 
 

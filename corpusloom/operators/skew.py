@@ -30,21 +30,23 @@ def hot_keys(df: DataFrame, on: list[str], spread: list[str],
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[str],
-                hot_rows: int = HOT_ROWS, sample: int = 64) -> DataFrame:
+                hot_on: list[str] | None = None, hot_rows: int = HOT_ROWS, sample: int = 64) -> DataFrame:
     """Join a side with hot keys (left) to a side that holds each key once (right).
 
     Rows of a hot key are spread over SLICES tasks; the right row of a hot key is repeated once per slice.
-    Both broadcasts are the hot-key list, at most MAX_HOT_KEYS narrow rows. ``spread`` names the columns
-    that identify a left row. Left rows with a null key match nothing and are spread as well.
+    Both broadcasts are the hot-key list, at most MAX_HOT_KEYS rows; ``hot_on`` names the short key columns it
+    is made of where a join key is a long text. ``spread`` names the columns that identify a left row. Left rows
+    with a null key match nothing and are spread as well.
     """
-    hot = F.broadcast(hot_keys(left, on, spread, hot_rows, sample))
+    hot_on = hot_on or on
+    hot = F.broadcast(hot_keys(left, hot_on, spread, hot_rows, sample))
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     spread_slice = F.pmod(F.xxhash64(*spread), F.lit(SLICES)).cast("int")
     salted = (
-        left.join(hot, on, "left")
+        left.join(hot, hot_on, "left")
         .withColumn("_salt", F.when(F.col("_hot") | no_key, spread_slice).otherwise(0))
         .drop("_hot")
     )
     slices = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
-    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(slices)).drop("_hot")
+    copies = right.join(hot, hot_on, "left").withColumn("_salt", F.explode(slices)).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -31,7 +31,7 @@ def lookup(turns: DataFrame, cache: DataFrame, spread: list[str], when: Column |
     unique = first_per_key(cache.withColumn("_md5", F.md5("prompt_en")), ["_md5", "prompt_en"], [F.col("prompt_ja")])
     unique = unique.select("_md5", F.col("prompt_en").alias("_text"), F.col("prompt_ja").alias("value_ja"), "translator")
     keyed = turns.withColumn("_md5", F.md5(text)).withColumn("_text", text)
-    return salted_join(keyed, unique, ["_md5", "_text"], "left", spread).drop("_md5", "_text")
+    return salted_join(keyed, unique, ["_md5", "_text"], "left", spread, hot_on=["_md5"]).drop("_md5", "_text")
 
 
 def translate_conversations(turns: DataFrame, cache: DataFrame, id: str = "id") -> DataFrame:

@@ -61,17 +61,17 @@ def match_content(target: DataFrame, batch: DataFrame, content: str, update: str
             ["_md5", content], [F.col(key)],
         ).select("_md5", content, F.col(key).alias("_target"))
     )
-    with_content = batch.where(F.col(content).isNotNull()).withColumn("_md5", md5)
-    first = first_per_key(with_content, ["_md5", content], [F.col(seq)])
-    last = first_per_key(with_content, ["_md5", content], [F.desc(seq)]).select(
-        "_md5", content, F.col(update).alias("_update")
+    kept = [c for c in batch.columns if c not in (content, update, seq)]
+    merged = (
+        batch.where(F.col(content).isNotNull()).withColumn("_md5", md5).groupBy("_md5", content)
+        .agg(F.min_by(F.struct(*kept), F.col(seq)).alias("_first"), F.max_by(F.struct(update), F.col(seq)).alias("_last"))
+        .select("_md5", content, "_first.*", "_last.*")
     )
-    merged = first.drop(update).join(last, ["_md5", content]).withColumnRenamed("_update", update)
     matched = merged.join(known, ["_md5", content], "left")
     updates = matched.where(F.col("_target").isNotNull()).select(
         F.col("_target").alias(key), F.col(update).alias("_new"), F.lit(True).alias("_hit")
     )
-    inserts = matched.where(F.col("_target").isNull()).drop("_md5", "_target", seq)
+    inserts = matched.where(F.col("_target").isNull()).drop("_md5", "_target")
     bare = batch.where(F.col(content).isNull()).drop(seq)
     updated = (
         target.join(updates, key, "left")

@@ -22,7 +22,7 @@ HEAD = 150
 
 
 def _docs(spark, d):
-    return views.table(spark, d, "documents")
+    return views.documents(spark, d)
 
 
 def dsir_ngram_features(spark, d):

@@ -9,6 +9,7 @@ from corpusloom.functions import chat
 from corpusloom.functions.text import bucket, uuid5
 from corpusloom.operators import conversations as conv_ops
 from corpusloom.operators import translation
+from corpusloom.sources.readers import spread
 
 # System lines for the test conversations.
 SYSTEM_POOL = [
@@ -25,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def pick(options: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (number + 1).cast("int"))
 
@@ -144,7 +149,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, en, ja): documents and their stand-in translations; one in five ends in code."""
     key = F.col("doc_id").cast("string")
     code = F.when(bucket(key, 5) == 0, pick(CODE_TAILS, bucket(tag("code", key), len(CODE_TAILS)))).otherwise("")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("en"), F.concat(ja(F.col("text")), code).alias("ja")
     )
 
@@ -152,7 +157,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, prompt) in lower case; one in six asks for a translation."""
     ask = F.when(bucket(F.col("doc_id").cast("string"), 6) == 0, " Translate this").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.concat("text", ask)).alias("prompt"))
+    return documents(spark, sf_dir).select("doc_id", F.lower(F.concat("text", ask)).alias("prompt"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +229,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a good quality label: the DSIR target."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi")
+    return documents(spark, sf_dir).join(good, "doc_id", "left_semi")
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ DIGIT_TOKENS = ["12", "3-4", "a1", "2024"]
 
 
 def _docs(spark, d):
-    return views.table(spark, d, "documents")
+    return views.documents(spark, d)
 
 
 def conv_token_count(spark, d):

@@ -14,6 +14,15 @@ def parquet_text(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.parquet(path).select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of few files over the cores, for work that is long per byte.
+
+    A table whose scan has tasks for more than half of the cores is left alone: at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """JSON lines from many files or globs, plain or .gz; empty files give no rows."""
     return spark.read.schema(schema).json(paths)
