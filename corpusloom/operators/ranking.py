@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.operators.skew import salted_join
+from corpusloom.operators.skew import sized_join
 from corpusloom.session import shared_folder
 
 HASH_BUCKETS = 1 << 14
@@ -53,7 +53,7 @@ def cut_by_order(df: DataFrame, by: list[str], order: list[str], take: Column) -
     last = groups.withColumn("_take", take.cast("long")).where("_take < n")
     cut = F.greatest(F.col("_first") + F.col("_take") - 1, F.col("_first"))
     at = last.select(cut.alias("rank"), (F.col("_take") <= 0).alias("_none"))
-    return ranked.join(at, "rank").select(*by, *[F.col(c).alias(f"_cut_{c}") for c in order], "_none")
+    return sized_join(ranked, at, ["rank"], "inner", ["rank"]).select(*by, *[F.col(c).alias(f"_cut_{c}") for c in order], "_none")
 
 
 def cut_by_hash(df: DataFrame, by: list[str], hashed: str, key: str, n: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _same(order: list[str], bounds: list[Column]) -> Column:
 def apply_cut(df: DataFrame, cut: DataFrame, by: list[str], order: list[str], spread: list[str]) -> DataFrame:
     """Keep the rows up to the cut of their group; groups without a cut stay whole."""
     if by:
-        joined = salted_join(df, cut, by, "left", spread)
+        joined = sized_join(df, cut, by, "left", spread)
         bounds = [F.col(f"_cut_{c}") for c in order]
         none = F.col("_none")
     else:

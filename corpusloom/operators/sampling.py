@@ -16,6 +16,7 @@ NGRAM_BUCKETS = 10_000
 MICRO = 1_000_000
 SCORE_STEP = 16
 SCORE_SPAN = 1 << 15
+BROADCAST_KEYS = 5_000_000
 
 
 def ngrams(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -101,11 +102,16 @@ def resample_keys(weights: DataFrame, id: str, n: int, seed: int | str) -> DataF
 
 def resample(raw: DataFrame, target: DataFrame, id: str, text: str, target_id: str, target_text: str,
              n: int, seed: int | str = 42, buckets: int = NGRAM_BUCKETS, min_chars: int = 0) -> DataFrame:
-    """``n`` raw documents drawn without replacement by importance weight (Gumbel top-n)."""
+    """``n`` raw documents drawn without replacement by importance weight (Gumbel top-n).
+
+    Up to BROADCAST_KEYS drawn ids and scores (16 bytes each for number ids) go to the documents as a broadcast, so the
+    texts are filtered where they lie; a larger draw is joined by shuffle.
+    """
     ratios = log_ratios(raw, target, id, text, target_id, target_text, buckets)
     pool = raw.where(F.length(text) >= min_chars) if min_chars else raw
     keys = resample_keys(importance_weights(pool, ratios, id, text, buckets), id, n, seed)
-    return pool.join(keys, id)
+    numbers = dict(raw.dtypes)[id] in ("bigint", "int")
+    return pool.join(F.broadcast(keys) if numbers and n <= BROADCAST_KEYS else keys, id)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int | str = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from corpusloom import fixed_values as fixed
 from corpusloom.functions.text import fixed_point
-from corpusloom.operators.skew import salted_join
+from corpusloom.operators.skew import sized_join
 
 
 def to_long(wide: DataFrame, model: str, metrics: list[str]) -> DataFrame:
@@ -46,10 +46,10 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def impute_mean(long: DataFrame) -> DataFrame:
-    """Missing scores take the mean of their metric over all models. One mean per metric is joined back, salted,
-    instead of a window that would gather all models of a metric."""
+    """Missing scores take the mean of their metric over all models. One mean per metric is joined back, instead of
+    a window that would gather all models of a metric in one task."""
     means = long.groupBy("metric").agg(F.avg("score").alias("_mean"))
-    joined = salted_join(long, means, ["metric"], "left", ["model", "metric"])
+    joined = sized_join(long, means, ["metric"], "left", ["model", "metric"])
     return joined.withColumn("score", F.coalesce("score", "_mean")).drop("_mean")
 
 
@@ -62,7 +62,7 @@ def offset_from_baseline(long: DataFrame, baseline: str, model: str = "model") -
     """Difference to the baseline model's metric; the baseline itself is dropped."""
     base = long.where(F.col(model) == baseline).select("metric", F.col("score").alias("_base"))
     others = long.where(F.col(model) != baseline)
-    joined = salted_join(others, base, ["metric"], "left", [model, "metric"])
+    joined = sized_join(others, base, ["metric"], "left", [model, "metric"])
     return joined.select(model, "metric", (F.col("score") - F.col("_base")).alias("offset"))
 
 

@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_folder
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 SLICES = 32
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def hot_keys(df: DataFrame, on: list[str], spread: list[str],
@@ -50,3 +54,19 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spre
     slices = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
     copies = right.join(hot, hot_on, "left").withColumn("_salt", F.explode(slices)).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[str],
+               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join to a side that holds each key once and is usually small, such as one row per source or metric.
+
+    That side is checkpointed and measured. Within ``max_rows`` and BROADCAST_BYTES it is broadcast, so the left rows
+    are not shuffled at all; beyond, the salted join takes over.
+    """
+    shared_folder(left.sparkSession)
+    right = right.checkpoint()
+    width = F.octet_length(F.to_json(F.struct(*right.columns)))
+    rows, size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows <= max_rows and size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, how, spread)

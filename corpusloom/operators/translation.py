@@ -27,11 +27,10 @@ def lookup(turns: DataFrame, cache: DataFrame, spread: list[str], when: Column |
     cache is reduced to one row per text first, so it cannot multiply turns; a prompt that most turns share is
     salted. ``when`` limits the lookup to some turns.
     """
-    text = F.col("value") if when is None else F.when(when, F.col("value"))
     unique = first_per_key(cache.withColumn("_md5", F.md5("prompt_en")), ["_md5", "prompt_en"], [F.col("prompt_ja")])
-    unique = unique.select("_md5", F.col("prompt_en").alias("_text"), F.col("prompt_ja").alias("value_ja"), "translator")
-    keyed = turns.withColumn("_md5", F.md5(text)).withColumn("_text", text)
-    return salted_join(keyed, unique, ["_md5", "_text"], "left", spread, hot_on=["_md5"]).drop("_md5", "_text")
+    unique = unique.select("_md5", F.col("prompt_en").alias("value"), F.col("prompt_ja").alias("value_ja"), "translator")
+    md5 = F.md5("value") if when is None else F.when(when, F.md5("value"))
+    return salted_join(turns.withColumn("_md5", md5), unique, ["_md5", "value"], "left", spread, hot_on=["_md5"]).drop("_md5")
 
 
 def translate_conversations(turns: DataFrame, cache: DataFrame, id: str = "id") -> DataFrame:
@@ -93,15 +92,16 @@ def pick_translator(text: Column, primary: Column, primary_name: Column, seconda
 
 def check_refusals(turns: DataFrame, verdicts: DataFrame, spread: list[str]) -> DataFrame:
     """Add ``verdict`` to each turn: ``refused``, ``ok`` or ``check``. A stored verdict wins over the length rule."""
-    keyed = turns.withColumn("_uuid", uuid5(F.col("value")))
+    # The length rule is settled before the join, so a caller without need of the texts does not shuffle them.
+    long_text = (line_count(F.col("value")) >= fixed.REFUSAL_LINES) | (F.length("value") >= fixed.REFUSAL_CHARS)
+    keyed = turns.withColumn("_uuid", uuid5(F.col("value"))).withColumn("_long", long_text)
     stored = first_per_key(verdicts, ["id"], [F.col("refusal")]).select(F.col("id").alias("_uuid"), "refusal")
     joined = salted_join(keyed, stored, ["_uuid"], "left", spread)
-    long_text = (line_count(F.col("value")) >= fixed.REFUSAL_LINES) | (F.length("value") >= fixed.REFUSAL_CHARS)
     verdict = (
         F.when(F.col("refusal").isNotNull(), F.when(F.col("refusal"), "refused").otherwise("ok"))
-        .when(long_text, "ok").otherwise("check")
+        .when(F.col("_long"), "ok").otherwise("check")
     )
-    return joined.withColumn("verdict", verdict).drop("_uuid", "refusal")
+    return joined.withColumn("verdict", verdict).drop("_uuid", "refusal", "_long")
 
 
 def refusal_summary(checked: DataFrame, id: str = "id") -> DataFrame:

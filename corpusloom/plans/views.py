@@ -9,6 +9,7 @@ from corpusloom.functions import chat
 from corpusloom.functions.text import bucket, uuid5
 from corpusloom.operators import conversations as conv_ops
 from corpusloom.operators import translation
+from corpusloom.operators.skew import sized_join
 from corpusloom.sources.readers import spread
 
 # System lines for the test conversations.
@@ -220,10 +221,10 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = items.agg(F.count(F.lit(1))).scalar()
     questions = items.select(F.col("item_id").alias("_item"), F.col("text").alias("question"))
     words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), 0), 1, 3)
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("passage"), words.alias("spans"), (F.col("doc_id") % count).alias("_item")
     )
-    return docs.join(questions, "_item").drop("_item")
+    return sized_join(docs, questions, ["_item"], "inner", ["doc_id"]).drop("_item")
 
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:

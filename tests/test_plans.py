@@ -29,3 +29,9 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,event_type:string,value:double>" in text
     assert "EqualTo(quality,1)" in plan(views.labeled(spark, SF))
     assert "EqualTo(role,system)" in plan(views.turns(spark, SF).where("`from` = 'system'"))
+
+
+def test_cap_filters_texts_without_a_shuffle(spark):
+    """The cut is broadcast; only narrow keys are shuffled to find it, and no text."""
+    text = plan(registry.QUERIES["per_source_cap"](spark, "/root/testdata/sf0.01").drop("x"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

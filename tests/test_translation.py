@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import uuid5
-from corpusloom.operators import skew, translation
+from corpusloom.operators import conversations, skew, translation
 
 TURNS = "id string, idx long, `from` string, value string"
 CACHE = "prompt_en string, prompt_ja string, translator string"
@@ -21,6 +21,22 @@ def test_salted_join_equals_plain_join(spark):
     assert [r["k"] for r in skew.hot_keys(lf, ["k"], ["i"], hot_rows=500, sample=1).collect()] == ["hot"]
 
 
+def test_sized_join_beyond_the_limit(spark):
+    lf = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    rf = spark.range(5).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    small, large = (skew.sized_join(lf, rf, ["k"], "left", ["id"], max_rows=m) for m in (100, 1))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and small.count() == 100
+    assert "_salt" in large._jdf.queryExecution().analyzed().toString()
+
+
+def test_conversation_too_long_for_one_record(spark):
+    turns = spark.createDataFrame([("long", i, "gpt", str(i)) for i in range(5)] + [("fits", i, "gpt", str(i)) for i in range(3)], TURNS)
+    kept = conversations.assemble(turns, max_turns=3).collect()
+    assert [(r["id"], len(r["conversation"])) for r in kept] == [("fits", 3)]
+    rest = conversations.oversize_turns(turns, max_turns=3).collect()
+    assert sorted(r["idx"] for r in rest) == [0, 1, 2, 3, 4] and {r["id"] for r in rest} == {"long"}
+
+
 def test_all_or_nothing(spark):
     turns = spark.createDataFrame([
         ("full", 1, "gpt", "b"), ("full", 0, "human", "a"), ("miss", 0, "human", "a"), ("miss", 1, "gpt", "zz"),
