@@ -46,11 +46,12 @@ def is_plain_prompt(prompt: Column, word: str = fixed.PROMPT_WORD) -> Column:
     )
 
 
+# Fixed value: marks of code.
+CODE_MARK = r"```|\{|std::|#include| in range\(|(^|\s)def "
+
+
 def looks_like_code(text: Column) -> Column:
-    marks = F.lit(False)
-    for mark in ("```", "{", "std::", "#include", " in range("):
-        marks = marks | F.contains(text, F.lit(mark))
-    return marks | (F.contains(text, F.lit("def ")) & text.rlike(r"(^|\s)def "))
+    return text.rlike(CODE_MARK)
 
 
 def long_pairs(pairs: DataFrame, en: str, min_chars: int = 2000) -> DataFrame:

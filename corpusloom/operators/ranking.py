@@ -98,16 +98,21 @@ def _same(order: list[str], bounds: list[Column]) -> Column:
 
 
 def apply_cut(df: DataFrame, cut: DataFrame, by: list[str], order: list[str], spread: list[str]) -> DataFrame:
-    """Keep the rows up to the cut of their group; groups without a cut stay whole."""
+    """Keep the rows up to the cut of their group; groups without a cut stay whole.
+
+    Without groups the cut is one row. Its values become literals, which the filter can take down to the scan.
+    """
     if by:
         joined = sized_join(df, cut, by, "left", spread)
         bounds = [F.col(f"_cut_{c}") for c in order]
         none = F.col("_none")
     else:
+        edge = cut.first()
+        if edge is None:
+            return df
         joined = df
-        edge = cut.select(F.struct("_none", *[f"_cut_{c}" for c in order]).alias("edge")).scalar()
-        bounds = [edge.getField(f"_cut_{c}") for c in order]
-        none = edge.getField("_none")
+        bounds = [F.lit(edge[f"_cut_{c}"]) for c in order]
+        none = F.lit(edge["_none"])
     kept = joined.where(
         none.isNull() | (_not_after(order, bounds) & ~(none & _same(order, bounds)))
     )

@@ -93,8 +93,8 @@ def resample_keys(weights: DataFrame, id: str, n: int, seed: int | str) -> DataF
     stepped = keyed.withColumn("_step", step)
     histogram = stepped.groupBy("_step").agg(F.count(F.lit(1)).alias("_n"))
     upto = histogram.selectExpr("_step", "sum(_n) over (order by _step) as _upto")
-    last_step = upto.where(F.col("_upto") >= n).agg(F.min("_step")).scalar()
-    survivors = stepped.where(last_step.isNull() | (F.col("_step") <= last_step)).drop("_step")
+    last_step = upto.where(F.col("_upto") >= n).agg(F.min("_step")).first()[0]
+    survivors = (stepped if last_step is None else stepped.where(F.col("_step") <= last_step)).drop("_step")
     cut = cut_by_order(survivors, [], ["_neg", id], F.lit(n))
     kept = apply_cut(survivors, cut, [], ["_neg", id], [id])
     return kept.select(id, (-F.col("_neg")).alias("score"))

@@ -114,12 +114,12 @@ def symbol_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word count."""
-    listed = words.select(F.regexp_extract_all("symbols", F.lit(f"{OPEN}([^{CLOSE}]+){CLOSE}"), 1).alias("_s"), "n")
-    shifted = listed.where(F.size("_s") > 1).withColumn("_r", F.slice("_s", F.lit(2), F.size("_s") - 1))
-    pairs = shifted.select(
-        F.explode(F.zip_with(F.slice("_s", F.lit(1), F.size("_s") - 1), "_r",
-                             lambda a, b: F.struct(a.alias("left"), b.alias("right")))).alias("_p"), "n"
+    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
+    listed = words.select(F.split(inner, f"{CLOSE}{OPEN}").alias("_s"), "n").where(F.size("_s") > 1)
+    sides = listed.select(
+        F.slice("_s", F.lit(1), F.size("_s") - 1).alias("left"), F.slice("_s", F.lit(2), F.size("_s") - 1).alias("right"), "n"
     )
+    pairs = sides.select(F.explode(F.arrays_zip("left", "right")).alias("_p"), "n")
     return pairs.groupBy("_p.left", "_p.right").agg(F.sum("n").alias("n"))
 
 
