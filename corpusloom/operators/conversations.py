@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed_values as fixed
 from corpusloom.functions import chat
 from corpusloom.functions.text import hash32, seeded
+from corpusloom.operators.skew import salted_join
 
 
 MAX_TURNS = 100_000
@@ -80,8 +81,8 @@ def translation_pairs(pairs: DataFrame, en: str, ja: str, seed: int | str = 42)
 
 def complete_with_response(stubs: DataFrame, responses: DataFrame) -> DataFrame:
     """Two-turn stubs ``(id, system, prompt)`` completed by the cached response to the prompt."""
-    keyed = responses.select(F.md5("prompt").alias("_md5"), F.col("prompt").alias("_prompt"), "response")
-    joined = stubs.withColumn("_md5", F.md5("prompt")).join(keyed, "_md5").where(F.col("prompt") == F.col("_prompt"))
+    keyed = responses.select(F.md5("prompt").alias("_md5"), "prompt", "response")
+    joined = salted_join(stubs.withColumn("_md5", F.md5("prompt")), keyed, ["_md5", "prompt"], "inner", ["id"], hot_on=["_md5"])
     return joined.select("id", chat.triple(F.col("system"), F.col("prompt"), F.col("response")).alias("conversation"))
 
 

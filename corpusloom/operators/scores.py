@@ -14,8 +14,8 @@ from corpusloom.operators.skew import sized_join
 
 
 def to_long(wide: DataFrame, model: str, metrics: list[str]) -> DataFrame:
-    """One row per model and metric. Scores may be stored as text."""
-    numbers = wide.select(model, *[F.col(m).cast("double").alias(m) for m in metrics])
+    """One row per model and metric. Scores may be stored as text; a text that is no number is a missing score."""
+    numbers = wide.select(model, *[F.col(m).try_cast("double").alias(m) for m in metrics])
     return numbers.unpivot([model], metrics, "metric", "score")
 
 

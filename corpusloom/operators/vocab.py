@@ -198,7 +198,7 @@ def sft_tokens(conversation: Column, max_len: int, system_text: str = fixed.SYST
         return piece(F.lit(token), kept)
 
     def block(head: list[Column], value: Column, kept: Column | bool) -> Column:
-        body = F.transform(tokens(value, "word_or_mark"), lambda t: F.struct(
+        body = F.transform(tokens(F.coalesce(value, F.lit("")), "word_or_mark"), lambda t: F.struct(
             t.alias("token"), (F.lit(kept) if isinstance(kept, bool) else kept).alias("label")))
         return F.concat(F.array(mark(IM_START, True), *head), body, F.array(mark(IM_END, True), mark(LINE, True)))
 
