@@ -10,7 +10,8 @@ from corpusloom.fixed_values import UUID_NAMESPACE_OID
 SPACE = r" \t\n\r\f"
 WORD_CHAR = r"\p{L}\p{N}_"
 ANY_SPACE = r"\x09-\x0D\x1C-\x20\x85\p{Z}"
-LINE_END = r"\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}"
+# Line ends besides the line feed: carriage return, vertical tab, form feed, separators, next line.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 PIECE = rf"[^{SPACE}]+"
 # A word run is taken whole (no backtracking), so what the second part meets is never a word character.
 WORD_OR_MARK = rf"[{WORD_CHAR}]++|[^{SPACE}]"
@@ -70,8 +71,9 @@ def strip(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Number of lines; a line end at the very end opens no new line."""
-    ends = F.regexp_count(text, F.lit(rf"\r\n|[{LINE_END}]"))
-    open_line = text.rlike(rf"[^{LINE_END}]\z")
+    plain = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    ends = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
+    open_line = (plain != "") & ~F.endswith(plain, F.lit("\n"))
     return ends + open_line.cast("int")
 
 
