@@ -77,7 +77,7 @@ def cut_by_hash(df: DataFrame, by: list[str], hashed: str, key: str, n: int) ->
     )
     inside = W.partitionBy(*by, F.lit(0)).orderBy(hashed, key)
     return (
-        narrow.join(edge, [*by, "_bucket"])
+        sized_join(narrow, edge, [*by, "_bucket"], "inner", [key])
         .withColumn("_rn", F.row_number().over(inside))
         .where(F.col("_rn") == F.greatest(F.col("_need"), F.lit(1)))
         .select(*by, F.col(hashed).alias(f"_cut_{hashed}"), F.col(key).alias(f"_cut_{key}"),

@@ -112,6 +112,12 @@ def refusal_summary(checked: DataFrame, id: str = "id") -> DataFrame:
     )
 
 
+def drop_refused(conversations: DataFrame, checked: DataFrame, id: str = "id") -> DataFrame:
+    """Conversations without a refused turn."""
+    refused = checked.where(F.col("verdict") == "refused").select(id).distinct()
+    return conversations.join(refused, id, "left_anti")
+
+
 def says_yes(response: Column) -> Column:
     return ~is_blank(response) & F.contains(F.lower(response), F.lit("yes"))
 

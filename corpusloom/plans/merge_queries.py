@@ -14,7 +14,7 @@ from corpusloom.plans.oracle_views import with_views
 
 def ingest_first_wins(spark, d):
     """All incoming rows into an empty table: the first row of an id stands."""
-    empty = views.records(spark, d).limit(0)
+    empty = views.records(spark, d).where("false")
     return upsert.insert_new(empty, views.incoming(spark, d), "id", "seq")
 
 

@@ -70,6 +70,8 @@ def test_refusals(spark):
     checked = translation.check_refusals(turns, stored, ["id", "idx"])
     rows = {r["id"]: (r["dropped"], r["to_check"]) for r in translation.refusal_summary(checked).collect()}
     assert rows == {"r": (True, 0), "k": (False, 0), "q": (False, 1)}
+    kept = translation.drop_refused(conversations.assemble(turns), checked)
+    assert sorted(r["id"] for r in kept.collect()) == ["k", "q"]
 
 
 def test_repeated_prompts(spark):
