@@ -50,6 +50,12 @@ def explode_turns(df: DataFrame, id: str = "id", column: str = "conversation") -
     return df.select(id, F.posexplode(column).alias("idx", "_t")).select(id, "idx", "_t.from", "_t.value")
 
 
+def first_answers(turns: DataFrame, id: str = "id") -> DataFrame:
+    """The first answer of each conversation, null where there is none; one partial aggregation, no turns gathered."""
+    place = F.when(F.col("from").isin("gpt", "assistant"), F.col("idx"))
+    return turns.groupBy(id).agg(F.min_by("value", place).alias("text"))
+
+
 def bilingual_records(df: DataFrame, id_en: Column, id_ja: Column,
                       en: str = "conversation", ja: str = "conversation_ja") -> DataFrame:
     """Up to two records per row; a missing side gives none."""

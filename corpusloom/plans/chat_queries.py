@@ -38,7 +38,7 @@ def role_to_chat(spark, d):
 
 
 def first_assistant_turn(spark, d):
-    return views.conv(spark, d).select("id", chat.first_assistant(F.col("conversation")).alias("text"))
+    return ops.first_answers(views.turns(spark, d))
 
 
 def prompt_concat(spark, d):

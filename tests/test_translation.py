@@ -37,6 +37,11 @@ def test_conversation_too_long_for_one_record(spark):
     assert sorted(r["idx"] for r in rest) == [0, 1, 2, 3, 4] and {r["id"] for r in rest} == {"long"}
 
 
+def test_first_answers(spark):
+    turns = spark.createDataFrame([("a", 1, "gpt", "late"), ("a", 0, "assistant", "first"), ("b", 0, "human", "q"), ("c", 0, "gpt", None), ("c", 1, "gpt", "x")], TURNS)
+    assert {tuple(r) for r in conversations.first_answers(turns).collect()} == {("a", "first"), ("b", None), ("c", None)}
+
+
 def test_all_or_nothing(spark):
     turns = spark.createDataFrame([
         ("full", 1, "gpt", "b"), ("full", 0, "human", "a"), ("miss", 0, "human", "a"), ("miss", 1, "gpt", "zz"),
