@@ -27,4 +27,5 @@ def test_entry(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).columns == ["id", "conversations"]
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
