@@ -24,8 +24,12 @@ NO_NAME = -(1 << 63)
 
 
 def one_space(text: Column) -> Column:
-    """Each run of ASCII white space as one space; null as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    """Each run of ASCII white space as one space; null as empty. Only texts with such runs pay for the pattern."""
+    flat = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    runs = F.contains(flat, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        runs = runs | F.contains(flat, F.lit(c))
+    return F.when(runs, F.regexp_replace(flat, SPACES, " ")).otherwise(flat)
 
 
 def _named(distinct: DataFrame, by: list[str]) -> DataFrame:

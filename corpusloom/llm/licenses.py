@@ -2,8 +2,9 @@
 
 Words are runs of ``[a-z0-9]`` after lower-casing. The parts of a text are its lines, its paragraphs of several lines and,
 where it has several paragraphs, the whole. Dice of at least t asks for sizes within ``t / (2 - t)`` and its inverse of each
-other, so templates outside that range are left out before any bigram is compared. All of it is one scan; only found
-licences are shuffled.
+other, so templates outside that range are left out before any bigram is compared. A part that can match any template at
+all holds one of a few words (`anchors`), so most texts are passed over after a plain search. All of it is one scan; only
+found licences are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import math
 import re
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 LEAST_DICE = Fraction(4, 5)
+#: A part longer than this is first judged by the distinct bigrams of its head; it changes no result.
+HEAD_CHARS = 4000
 PARAGRAPH = r"\n[ \t\r\n]*\n"
 
 
@@ -65,9 +70,35 @@ def size_bounds(size: int, least: Fraction = LEAST_DICE) -> tuple[int, int]:
     return math.ceil(size * least / (2 - least)), math.floor(size * (2 - least) / least)
 
 
+def anchors(templates: list[list[str]], least: Fraction = LEAST_DICE) -> list[str]:
+    """Words of which any matching part holds at least one.
+
+    A part that reaches the coefficient with a template of n bigrams shares at least ``least * (low + n) / 2`` of them, so it
+    misses fewer than n - that + 1. Words are taken, long ones first, until each template has that many bigrams with one.
+    """
+    left = {}
+    for i, grams in enumerate(templates):
+        shared = math.ceil(least * (size_bounds(len(grams), least)[0] + len(grams)) / 2)
+        left[i] = (set(grams), max(1, len(grams) - shared + 1))
+    covered, chosen = dict.fromkeys(left, 0), []
+    while any(covered[i] < need for i, (_, need) in left.items()):
+        gain: dict[str, int] = {}
+        for i, (grams, need) in left.items():
+            for w in {w for g in grams for w in g.split()}:
+                new = sum(w in g.split() for g in grams)
+                gain[w] = gain.get(w, 0) + min(new, max(0, need - covered[i]))
+        word = max((w for w in gain if gain[w]), key=lambda w: (len(w) >= 7, len(w) >= 5, gain[w], w))
+        chosen.append(word)
+        for i, (grams, need) in left.items():
+            has = {g for g in grams if word in g.split()}
+            covered[i] += len(has)
+            left[i] = (grams - has, need)
+    return chosen
+
+
 def bigrams(text: Column) -> Column:
-    """Distinct word bigrams; empty for fewer than two words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+    """Distinct word bigrams of a lower-case text; empty for fewer than two words."""
+    words = F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
     pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
     once = F.transform(F.array(words), pairs)[0]  # the words are made once
     return F.array_distinct(F.filter(once, lambda p: p.isNotNull()))
@@ -97,12 +128,17 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
             low, high = size_bounds(len(grams), least)
             rows.append(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, grams)).alias("grams"),
                                  F.lit(low).alias("low"), F.lit(high).alias("high")))
-    units = docs.select(F.col(id).alias("doc_id"), F.explode(parts(F.col(text))).alias("part"))
     if not rows:
-        return units.select("doc_id", F.lit("").alias("license"), F.lit(0).cast("long").alias("n_parts"), F.lit(0.0).alias("dice")).where("false")
-    # n words have at most n - 1 bigrams and at least 2n - 1 characters: shorter parts fit no template
+        return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_parts long, dice double")
+    words = anchors([g for g in known.values() if g], least)
     fewest = min(size_bounds(len(g), least)[0] for g in known.values() if g)
-    units = units.where(F.length("part") >= 2 * fewest + 1).select("doc_id", bigrams(F.col("part")).alias("grams"))
+    most = max(size_bounds(len(g), least)[1] for g in known.values() if g)
+    units = docs.select(F.col(id).alias("doc_id"), F.explode(parts(F.lower(F.col(text)))).alias("part"))
+    # n words have at most n - 1 bigrams and at least 2n - 1 characters: shorter parts fit no template
+    units = units.where(F.length("part") >= 2 * fewest + 1).where(reduce(or_, (F.contains(F.col("part"), F.lit(w)) for w in words)))
+    # a long part has at least the bigrams of its head, but for the last word, which may be cut
+    head = F.size(bigrams(F.substring("part", 1, HEAD_CHARS))) <= most + 1
+    units = units.where((F.length("part") <= HEAD_CHARS) | head).select("doc_id", bigrams(F.col("part")).alias("grams"))
     fits = F.filter(F.array(*rows), lambda t: F.size("grams").between(t["low"], t["high"]))
     found = units.select("doc_id", "grams", F.explode(fits).alias("t")).select(
         "doc_id", "t.license", F.size(F.array_intersect("grams", "t.grams")).alias("shared"),
