@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_paths, exact_dedup, licenses
+from corpusloom.llm import chat_paths, exact_dedup, licenses, packing, pieces, repetition
 from corpusloom.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; PUBLIC_TOKENIZERS names their folder where the package that knows it is missing."""
+    folder = os.environ.get("PUBLIC_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_pack(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op2_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
@@ -45,13 +61,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM spelled GROUP BY conv_id"""
 
 
+def op8_quality_rules(spark, d):
+    return repetition.quality_rules(table(spark, d, "documents"))
+
+
+def op9_piece_encode(spark, d):
+    return pieces.round_trip_digests(table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_license_scan(spark, d):
     return licenses.scan_licenses(table(spark, d, "documents"))
 
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_piece_encode": op9_piece_encode,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE = {
