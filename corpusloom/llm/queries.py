@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_paths, exact_dedup, licenses, packing, pieces, repetition
+from corpusloom.llm import chat_paths, exact_dedup, jaccard_join, licenses, packing, pieces, repetition
 from corpusloom.llm.common import table
 
 
@@ -61,6 +61,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM spelled GROUP BY conv_id"""
 
 
+def op4_jaccard_join(spark, d):
+    return jaccard_join.near_duplicates(table(spark, d, "documents"))
+
+
 def op8_quality_rules(spark, d):
     return repetition.quality_rules(table(spark, d, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_piece_encode": op9_piece_encode,
     "op10_license_scan": op10_license_scan,
