@@ -62,3 +62,18 @@ def per_text(docs: DataFrame, keys: list[str], text: str, fields: dict[str, str]
                     start, size = i + 1, 0
 
     return source.mapInArrow(work, spark_schema)
+
+
+#: Rows of ids that may be broadcast: 16 bytes each, so 8 MB. Longer lists are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A settled list of ids, marked for broadcast if it is measured to be short."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Rows whose id is not listed; a null id is never listed. Texts are shuffled only where the list is long."""
+    listed = small_side(settle(ids.where(F.col(id).isNotNull()).select(id).distinct()))
+    return docs.join(listed, id, "left_anti").select(*docs.columns)

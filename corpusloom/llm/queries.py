@@ -6,7 +6,18 @@ import os
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_paths, exact_dedup, jaccard_join, licenses, packing, pieces, repetition
+from corpusloom.llm import (
+    chat_paths,
+    exact_dedup,
+    jaccard_join,
+    licenses,
+    packing,
+    pieces,
+    quality_lm,
+    repetition,
+    secret_scan,
+    span_dedup,
+)
 from corpusloom.llm.common import table
 
 
@@ -65,6 +76,18 @@ def op4_jaccard_join(spark, d):
     return jaccard_join.near_duplicates(table(spark, d, "documents"))
 
 
+def op5_secret_scan(spark, d):
+    return secret_scan.scan_secrets(table(spark, d, "documents"))
+
+
+def op6_quality_lm(spark, d):
+    return quality_lm.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op7_span_dedup(spark, d):
+    return span_dedup.drop_repeated_spans(table(spark, d, "documents"))
+
+
 def op8_quality_rules(spark, d):
     return repetition.quality_rules(table(spark, d, "documents"))
 
@@ -82,6 +105,9 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_lm": op6_quality_lm,
+    "op7_span_dedup": op7_span_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_piece_encode": op9_piece_encode,
     "op10_license_scan": op10_license_scan,
