@@ -22,7 +22,8 @@ def option_columns(columns: list[str]) -> list[str]:
 
 
 def multiple_choice(question: Column, options: list[str], answer: Column) -> Column:
-    choices = lines(*[F.concat(F.lit(f"{k}. "), F.col(k)) for k in options])
+    """A missing option is left out; the others stay."""
+    choices = F.concat_ws("\n", *[F.concat(F.lit(f"{k}. "), F.col(k)) for k in options])
     return lines(question, choices, answer)
 
 
@@ -36,5 +37,6 @@ def option_pick(sentence: Column, option1: Column, option2: Column, answer: Colu
 
 
 def choice_arrays(question: Column, labels: Column, texts: Column, key: Column) -> Column:
+    """A missing choice is left out; the others stay."""
     choices = F.zip_with(labels, texts, lambda k, t: F.concat(k, F.lit(". "), t))
     return lines(question, F.array_join(choices, "\n"), key)

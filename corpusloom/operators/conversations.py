@@ -1,7 +1,7 @@
 """Conversation reshaping.
 
 The working form is one row per turn: ``(id, idx, from, value)``. Joins, counts and checks run on turn rows. Only
-`assemble` gathers a conversation into one array, where the result is one record per conversation, up to a fixed size.
+`assemble` gathers a conversation into one array, where the result is one record per conversation.
 """
 
 from __future__ import annotations
@@ -15,34 +15,18 @@ from corpusloom.functions.text import hash32, seeded
 from corpusloom.operators.skew import salted_join
 
 
-MAX_TURNS = 100_000
+def assemble(turns: DataFrame, id: str = "id", value: str = "value", keep: Column | None = None) -> DataFrame:
+    """One record per conversation: all its turns in ``idx`` order. With ``keep``, only where it holds for every turn.
 
-
-def assemble(turns: DataFrame, id: str = "id", value: str = "value", keep: Column | None = None,
-             max_turns: int = MAX_TURNS) -> DataFrame:
-    """One record per conversation: turns in ``idx`` order. With ``keep``, only where it holds for every turn.
-
-    ``idx`` is the position in the conversation. A task gathers at most ``max_turns`` turns per conversation, as later
-    ones are left out before the shuffle; a conversation that has such turns does not fit one record and is not given
-    here but whole, as rows, by `oversize_turns`.
+    A record is one row by definition, so a conversation has to fit one; what needs no record works on turn rows.
     """
     item = F.struct("idx", "from", F.col(value).alias("value"))
     grouped = turns.groupBy(id).agg(
-        F.array_sort(F.collect_list(F.when(F.col("idx") < max_turns, item))).alias("_turns"),
-        F.max("idx").alias("_last"),
+        F.array_sort(F.collect_list(item)).alias("_turns"),
         (F.every(keep) if keep is not None else F.lit(True)).alias("_keep"),
     )
     plain = F.transform("_turns", lambda t: chat.turn(t["from"], t["value"]))
-    return grouped.where(F.col("_keep") & (F.col("_last") < max_turns)).select(id, plain.alias("conversation"))
-
-
-def oversize_turns(turns: DataFrame, id: str = "id", max_turns: int = MAX_TURNS) -> DataFrame:
-    """All turns of the conversations that are too long for one record.
-
-    The ids found are at most one per ``max_turns`` turns, hence broadcast.
-    """
-    long_ids = turns.where(F.col("idx") >= max_turns).select(id).distinct()
-    return turns.join(F.broadcast(long_ids), id, "left_semi")
+    return grouped.where(F.col("_keep")).select(id, plain.alias("conversation"))
 
 
 def explode_turns(df: DataFrame, id: str = "id", column: str = "conversation") -> DataFrame:
@@ -86,8 +70,8 @@ def translation_pairs(pairs: DataFrame, en: str, ja: str, seed: int | str = 42)
 
 
 def complete_with_response(stubs: DataFrame, responses: DataFrame) -> DataFrame:
-    """Two-turn stubs ``(id, system, prompt)`` completed by the cached response to the prompt."""
-    keyed = responses.select(F.md5("prompt").alias("_md5"), "prompt", "response")
+    """Two-turn stubs ``(id, system, prompt)`` completed by the cached response to the prompt: of several, the smallest."""
+    keyed = responses.groupBy(F.md5("prompt").alias("_md5"), "prompt").agg(F.min("response").alias("response"))
     joined = salted_join(stubs.withColumn("_md5", F.md5("prompt")), keyed, ["_md5", "prompt"], "inner", ["id"], hot_on=["_md5"])
     return joined.select("id", chat.triple(F.col("system"), F.col("prompt"), F.col("response")).alias("conversation"))
 

@@ -86,15 +86,16 @@ def cut_by_hash(df: DataFrame, by: list[str], hashed: str, key: str, n: int) ->
 
 
 def _not_after(order: list[str], bounds: list[Column]) -> Column:
-    """(order) <= (bounds), or strictly less where the bound row itself is out."""
+    """(order) <= (bounds), or strictly less where the bound row itself is out. Nulls come first, as in a sort."""
     out = F.lit(True)
     for name, bound in reversed(list(zip(order, bounds))):
-        out = (F.col(name) < bound) | ((F.col(name) == bound) & out)
+        before = F.coalesce(F.col(name) < bound, F.col(name).isNull() & bound.isNotNull())
+        out = before | (F.col(name).eqNullSafe(bound) & out)
     return out
 
 
 def _same(order: list[str], bounds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c) == b for c, b in zip(order, bounds)])
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(b) for c, b in zip(order, bounds)])
 
 
 def apply_cut(df: DataFrame, cut: DataFrame, by: list[str], order: list[str], spread: list[str]) -> DataFrame:
@@ -119,15 +120,22 @@ def apply_cut(df: DataFrame, cut: DataFrame, by: list[str], order: list[str], sp
     return kept.select(*df.columns)
 
 
+def _null_safe(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns that a plain join can match: texts that tell null apart from any value."""
+    names = [f"_by_{c}" for c in by]
+    for name, c in zip(names, by):
+        df = df.withColumn(name, F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")))
+    return df, names
+
+
 def first_by_hash(df: DataFrame, n: int, hashed: Column, key: str, by: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows (of each group) in hash order: a repeatable shuffle-and-take."""
-    by = by or []
-    keyed = df.withColumn("_h", hashed)
+    keyed, by = _null_safe(df.withColumn("_h", hashed), by or [])
     cut = cut_by_hash(keyed, by, "_h", key, n)
-    return apply_cut(keyed, cut, by, ["_h", key], [key]).drop("_h")
+    return apply_cut(keyed, cut, by, ["_h", key], [key]).drop("_h", *by)
 
 
 def first_in_order(df: DataFrame, take: Column, order: list[str], by: list[str] | None = None) -> DataFrame:
     """The first ``take`` rows (of each group) in ascending, unique order; ``take`` may use ``n``."""
-    by = by or []
-    return apply_cut(df, cut_by_order(df, by, order, take), by, order, order)
+    keyed, by = _null_safe(df, by or [])
+    return apply_cut(keyed, cut_by_order(keyed, by, order, take), by, order, order).drop(*by)

@@ -23,11 +23,12 @@ def repeated_prompts(turns: DataFrame, role: str = "system") -> DataFrame:
 def lookup(turns: DataFrame, cache: DataFrame, spread: list[str], when: Column | None = None) -> DataFrame:
     """Add the cached ``value_ja`` and ``translator`` of each turn text, null where the cache has none.
 
-    The join key is the md5 of the text, checked against the text itself, so sorts never compare long texts. The
-    cache is reduced to one row per text first, so it cannot multiply turns; a prompt that most turns share is
+    The join key is the md5 of the text, checked against the text itself, so sorts never compare long texts. Null and
+    blank outputs count as missing. The cache is reduced to one row per text first, so it cannot multiply turns; a prompt that most turns share is
     salted. ``when`` limits the lookup to some turns.
     """
-    unique = first_per_key(cache.withColumn("_md5", F.md5("prompt_en")), ["_md5", "prompt_en"], [F.col("prompt_ja")])
+    filled = cache.where(~is_blank(F.col("prompt_ja"))).withColumn("_md5", F.md5("prompt_en"))
+    unique = first_per_key(filled, ["_md5", "prompt_en"], [F.col("prompt_ja"), F.col("translator")])
     unique = unique.select("_md5", F.col("prompt_en").alias("value"), F.col("prompt_ja").alias("value_ja"), "translator")
     md5 = F.md5("value") if when is None else F.when(when, F.md5("value"))
     return salted_join(turns.withColumn("_md5", md5), unique, ["_md5", "value"], "left", spread, hot_on=["_md5"]).drop("_md5")
@@ -43,7 +44,8 @@ def translate_conversations(turns: DataFrame, cache: DataFrame, id: str = "id")
 def translate_system_only(turns: DataFrame, cache: DataFrame, fresh: DataFrame, id: str = "id") -> DataFrame:
     """Turn rows with system texts from the cache and all others, and misses, from fresh output ``(id, idx, fresh)``."""
     found = lookup(turns, cache, [id, "idx"], when=F.col("from") == "system")
-    joined = found.join(fresh, [id, "idx"], "left")
+    one = fresh.groupBy(id, "idx").agg(F.min("fresh").alias("fresh"))
+    joined = found.join(one, [id, "idx"], "left")
     value = F.coalesce(F.nullif("value_ja", F.lit("")), F.col("fresh"))
     return joined.select(id, "idx", "from", value.alias("value"))
 
@@ -95,7 +97,8 @@ def check_refusals(turns: DataFrame, verdicts: DataFrame, spread: list[str]) ->
     # The length rule is settled before the join, so a caller without need of the texts does not shuffle them.
     long_text = (line_count(F.col("value")) >= fixed.REFUSAL_LINES) | (F.length("value") >= fixed.REFUSAL_CHARS)
     keyed = turns.withColumn("_uuid", uuid5(F.col("value"))).withColumn("_long", long_text)
-    stored = first_per_key(verdicts, ["id"], [F.col("refusal")]).select(F.col("id").alias("_uuid"), "refusal")
+    # of several verdicts on one text a refusal wins, and a null one says nothing
+    stored = verdicts.where(F.col("refusal").isNotNull()).groupBy(F.col("id").alias("_uuid")).agg(F.max("refusal").alias("refusal"))
     joined = salted_join(keyed, stored, ["_uuid"], "left", spread)
     verdict = (
         F.when(F.col("refusal").isNotNull(), F.when(F.col("refusal"), "refused").otherwise("ok"))

@@ -124,3 +124,10 @@ def test_concat_sources_and_files(spark):
     assert sorted(r["text"] for r in sampling.concat_sources([a, b]).collect()) == ["w", "x", "y", "z"]
     picked = {r["source"] for r in sampling.sample_sources(b, 2, "source").collect()}
     assert picked == set(sorted(["s1", "s2", "s3"], key=lambda s: h32(f"42|{s}"))[:2])
+
+
+def test_null_group_is_capped(spark):
+    rows = [(i, [None, "a", "b"][i % 3], f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    capped = sampling.cap_per_source(docs, 10, "source", "doc_id")
+    assert {r["source"]: r["count"] for r in capped.groupBy("source").count().collect()} == {None: 10, "a": 10, "b": 10}

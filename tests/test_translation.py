@@ -29,12 +29,35 @@ def test_sized_join_beyond_the_limit(spark):
     assert "_salt" in large._jdf.queryExecution().analyzed().toString()
 
 
-def test_conversation_too_long_for_one_record(spark):
-    turns = spark.createDataFrame([("long", i, "gpt", str(i)) for i in range(5)] + [("fits", i, "gpt", str(i)) for i in range(3)], TURNS)
-    kept = conversations.assemble(turns, max_turns=3).collect()
-    assert [(r["id"], len(r["conversation"])) for r in kept] == [("fits", 3)]
-    rest = conversations.oversize_turns(turns, max_turns=3).collect()
-    assert sorted(r["idx"] for r in rest) == [0, 1, 2, 3, 4] and {r["id"] for r in rest} == {"long"}
+def test_long_conversation_stays_whole(spark):
+    n = 100_001
+    turns = spark.range(n, numPartitions=4).selectExpr("'long' AS id", "id AS idx", "'gpt' AS `from`", "cast(id % 7 AS string) AS value")
+    assert conversations.assemble(turns).selectExpr("size(conversation) AS n").first()["n"] == n
+    cache = spark.createDataFrame([(str(i), f"J{i}", "t") for i in range(7)], CACHE)
+    done = translation.translate_conversations(turns, cache)
+    assert done.selectExpr("size(conversation) AS n", "conversation[100000].value AS last").collect() == [(n, f"J{(n - 1) % 7}")]
+
+
+def test_empty_outputs_do_not_hide_a_translation(spark):
+    turns = spark.createDataFrame([("c", 0, "human", "hi"), ("c", 1, "gpt", "yo")], TURNS)
+    cache = spark.createDataFrame([("hi", "JA1", "t"), ("hi", None, "t"), ("hi", " ", "u"), ("yo", "JA2", "t")], CACHE)
+    assert [len(r["conversation"]) for r in translation.translate_conversations(turns, cache).collect()] == [2]
+
+
+def test_refusal_wins_over_other_verdicts(spark):
+    from corpusloom.functions.text import uuid5
+    from pyspark.sql import functions as F
+
+    turns = spark.createDataFrame([("a", 0, "gpt", "x"), ("b", 0, "gpt", "y"), ("c", 0, "gpt", "z")], TURNS)
+    verdicts = spark.createDataFrame([("x", True), ("x", None), ("y", False), ("y", True), ("z", None)], "t string, refusal boolean").select(uuid5(F.col("t")).alias("id"), "refusal")
+    got = {r["id"]: r["verdict"] for r in translation.check_refusals(turns, verdicts, ["id", "idx"]).collect()}
+    assert got == {"a": "refused", "b": "refused", "c": "check"}
+
+
+def test_one_response_per_prompt(spark):
+    stubs = spark.createDataFrame([("a", "s", "p")], "id string, system string, prompt string")
+    responses = spark.createDataFrame([("p", "r2"), ("p", "r1")], "prompt string, response string")
+    assert conversations.complete_with_response(stubs, responses).count() == 1
 
 
 def test_first_answers(spark):
