@@ -76,17 +76,23 @@ def run_of_spans(texts: list[bytes], rule: Spans) -> dict:
     return {"hashes": [h[i:j] for i, j in cut], "lengths": [length[i:j] for i, j in cut]}
 
 
-def without_sentences(text: bytes, removed: list[int], rule: Spans) -> bytes:
-    """The text without these sentences; each goes with the white space up to the next."""
+def without_sentences(text: bytes, spans: list[dict], rule: Spans) -> tuple[bytes, int, int]:
+    """The text without the sentences of these spans, how many it had, and how many went.
+
+    A sentence goes with the white space up to the next.
+    """
     _, _, at, start = sentence_starts([text], rule)
+    if not spans:
+        return text, len(at), 0
     edge = np.r_[start[at], len(text)]
     keep = np.ones(len(at), bool)
-    keep[removed] = False
-    return text[: edge[0]] + b"".join(text[edge[i] : edge[i + 1]] for i in np.flatnonzero(keep))
+    for s in spans:
+        keep[s["pos"] : s["pos"] + s["length"]] = False
+    return text[: edge[0]] + b"".join(text[edge[i] : edge[i + 1]] for i in np.flatnonzero(keep)), len(at), int((~keep).sum())
 
 
 def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
-    """(id, body, removed): the sentences of each text that a span with an earlier place covers.
+    """(id, body, removed): the spans (pos, length) of each text that have an earlier place, counted in sentences.
 
     ``docs`` has (id, body, text). First is the smallest (id, body, place); a null id comes first.
     """
@@ -96,8 +102,7 @@ def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
     place = F.struct("id", "body", "pos")
     repeated = settle(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1").select("hash", "first"))
     later = spans.join(repeated, "hash").where(place != F.col("first"))
-    covers = F.sequence(F.col("pos"), F.col("pos") + F.col("length").cast("int") - 1)
-    return later.select("id", "body", F.explode(covers).alias("at")).distinct().groupBy("id", "body").agg(F.collect_list("at").alias("removed"))
+    return later.groupBy("id", "body").agg(F.collect_set(F.struct("pos", "length")).alias("removed"))
 
 
 def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Spans = Spans()) -> DataFrame:
@@ -115,14 +120,10 @@ def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, gone = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            n, clean = [], []
-            for t, g in zip(texts, gone, strict=True):
-                n.append(len(sentence_starts([t], rule)[2]))
-                clean.append(without_sentences(t, g, rule) if g else t)
+            clean, n, removed = zip(*(without_sentences(t, g, rule) for t, g in zip(texts, gone, strict=True)), strict=True) if texts else ((), (), ())
             chars = lambda b: len(b.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([c.decode("utf-8", "replace") for c in clean], pa.string()), pa.array(n, pa.int64()),
-                 pa.array([len(g or ()) for g in gone], pa.int64()),
+                [ids, pa.array([c.decode("utf-8", "replace") for c in clean], pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array([chars(t) - chars(c) if len(t) != len(c) else 0 for t, c in zip(texts, clean, strict=True)], pa.int64())],
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed_chars"])
 
