@@ -18,10 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import per_text, settle
+from corpusloom.llm.common import per_text, settle, small_side
 from corpusloom.llm.graph import components
 from corpusloom.llm.hashing import mix, shingle_sets
 
@@ -112,33 +113,52 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     return per_text(some, ["row"], "text", {"tokens": "array<long>"}, lambda texts: {"tokens": shingle_sets(texts, rule.k)})
 
 
+def _often(sets: DataFrame, tokens: str, frequent: DataFrame, few: bool) -> DataFrame:
+    """Adds ``often``: the frequent ones of each set's tokens. A short list goes to every task; a long one is joined."""
+    if not few:
+        marked = sets.select("row", F.explode(tokens).alias("token")).join(frequent, "token").groupBy("row").agg(F.collect_list("token").alias("often"))
+        return settle(sets.join(marked, "row", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>"))))
+    listed = sets.sparkSession.sparkContext.broadcast(np.sort(frequent.toPandas()["token"].to_numpy(np.int64)))
+    place, columns = sets.columns.index(tokens), ", ".join(f"{c} {t}" for c, t in sets.dtypes)
+
+    def work(batches):
+        for batch in batches:
+            column, known = batch.column(place), listed.value
+            flat = column.flatten().to_numpy()
+            hit = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+            upto = np.r_[0, np.cumsum(hit)]
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            often = pa.ListArray.from_arrays(pa.array(upto[offsets].astype(np.int32)), pa.array(flat[hit]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, often], names=[*batch.schema.names, "often"])
+
+    return sets.mapInArrow(work, f"{columns}, often array<bigint>")
+
+
 def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(sig, row, n): the signatures of every set that has tokens."""
     tokens = sets.select("row", F.explode("head").alias("token"))
     frequent = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > rule.frequent).select("token"))
-    if frequent.count() <= rule.broadcast_ids:  # 8 bytes each
-        frequent = F.broadcast(frequent)
-    marked = tokens.join(frequent, "token").groupBy("row").agg(F.collect_list("token").alias("often"))
-    parted = settle(sets.join(marked, "row", "left").select(
-        "row", "n", F.array_except("head", F.coalesce("often", F.array().cast("array<bigint>"))).alias("rare"), F.size("head").alias("seen")))
+    few = frequent.count() <= rule.broadcast_ids  # 8 bytes each
     need = F.expr(f"n - (({rule.percent} * n + 99) div 100) + 1")
-    enough = F.size("rare") >= need
-    plain = parted.where(enough).select("row", "n", F.explode(F.slice("rare", F.lit(1), need.cast("int"))).alias("sig"))
+    parted = _often(sets.select("row", "n", "head"), "head", frequent, few)
+    parted = parted.select("row", "n", F.when(F.size("often") == 0, F.col("head")).otherwise(F.array_except("head", "often")).alias("rare"))
+    plain = parted.where(F.size("rare") >= need).select("row", "n", F.explode(F.slice("rare", F.lit(1), need.cast("int"))).alias("sig"))
     # too few rare tokens among the smallest: take the whole set and part it again
-    whole = settle(_whole_sets(docs, parted.where(~enough).select("row"), rule))
-    again = whole.select("row", F.explode("tokens").alias("token")).join(frequent, "token").groupBy("row").agg(F.collect_list("token").alias("often"))
-    few = whole.join(again, "row", "left").select("row", "tokens", F.coalesce("often", F.array().cast("array<bigint>")).alias("often"))
+    whole = settle(_whole_sets(docs, settle(parted.where(F.size("rare") < need).select("row")), rule))
+    again = _often(whole.select("row", "tokens"), "tokens", frequent, few)
 
     def work(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            for row, tokens, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, tokens, often in zip(*(batch.column(c).to_pylist() for c in ("row", "tokens", "often")), strict=True):
                 tokens, often = np.array(tokens, np.int64), np.sort(np.array(often, np.int64))
                 sig = signatures(np.setdiff1d(tokens, often, assume_unique=True), often, len(tokens), rule)
                 yield pa.RecordBatch.from_pydict({"row": np.full(len(sig), row), "n": np.full(len(sig), len(tokens)), "sig": sig})
 
-    return plain.unionByName(settle(few.mapInArrow(work, "row long, n long, sig long")))
+    return plain.unionByName(settle(again.mapInArrow(work, "row long, n long, sig long")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -147,19 +167,20 @@ def _possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     Up to the smaller of the two last hashes both heads are complete, so what is shared there is known; beyond it at most the
     rest of the smaller set can be.
     """
-    side = lambda x: sets.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
+    heads = sets.join(small_side(settle(_ends(pairs))), "row", "left_semi")
+    side = lambda x: heads.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    end = F.least(F.array_max("head_a"), F.array_max("head_b"))
-    upto = lambda x: F.size(F.filter(f"head_{x}", lambda h: h <= F.col("end")))
-    rest = F.least(F.col("n_a") - upto("a"), F.col("n_b") - upto("b"))
+    # heads are in rising order; the one that ends first counts whole
+    last = lambda x: F.element_at(f"head_{x}", -1)
+    upto = lambda x, y: F.when(last(x) <= last(y), F.size(f"head_{x}")).otherwise(F.size(F.filter(f"head_{x}", lambda h: h <= last(y))))
+    rest = F.least(F.col("n_a") - upto("a", "b"), F.col("n_b") - upto("b", "a"))
     most = F.size(F.array_intersect("head_a", "head_b")) + rest
-    return both.withColumn("end", end).where((100 + rule.percent) * most >= rule.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.where((100 + rule.percent) * most >= rule.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs that link."""
-    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    whole = settle(_whole_sets(docs, rows, rule))
+    whole = settle(_whole_sets(docs, settle(_ends(pairs)), rule))
     side = lambda x: whole.select(F.col("row").alias(x), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))
@@ -222,8 +243,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rul
     source = docs.select(F.col(id).alias("row"), F.col(text).alias("text"))
     rows = settle(_set_rows(source, rule, ["row"]))
     same = ["n", "sum_a", "sum_b"]
-    classes = settle(rows.where("n > 0 and row is not null").groupBy(*same).agg(F.min("row").alias("class"), F.min_by("head", "row").alias("head")))
-    sets = classes.select(F.col("class").alias("row"), "n", "head")
+    named = rows.where("n > 0 and row is not null")
+    classes = settle(named.groupBy(*same).agg(F.min("row").alias("class")))
+    copies = named.select("row", *same).join(classes, same).where(F.col("row") != F.col("class")).select("row")
+    sets = named.join(small_side(settle(copies)), "row", "left_anti").select("row", "n", "head")
     _, labels = link_sets(source.where("row is not null"), sets, rule)
     member = settle(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select(*same, "class", F.coalesce("component", "class").alias("component")))
     narrow = rows.select("row", *same)
