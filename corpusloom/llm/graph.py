@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = settle(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        closer = settle(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
+        closer = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         onward = closer.select(F.col("node").alias("component"), F.col("component").alias("far"))
         stepped = settle(closer.join(onward, "component").select("node", F.least("component", "far").alias("component"), "was"))
         labels = stepped.select("node", "component")

@@ -35,7 +35,7 @@ class Rule:
 
     k: int = 4
     percent: int = 85
-    frequent: int = 24
+    frequent: int = 8
     small: int = 80
     classes: int = 64
     pivot_rounds: int = 4
