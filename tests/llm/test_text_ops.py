@@ -246,8 +246,9 @@ def test_kneser_ney_sums_to_one_and_equals_a_plain_version(spark):
     docs = frame(spark, list(enumerate(texts)))
     letters = quality_lm.common_characters(docs, "text")
     assert letters == [ord(c) for c, _ in sorted(Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0]))]
-    p = 2.0 ** -quality_lm.fit(docs, "text", letters).astype(float).reshape((quality_lm.ALPHABET,) * 3)
     size = len(letters) + 2
+    model = quality_lm.fit(docs, "text", letters, size)
+    p = 2.0 ** -quality_lm.dense(model, letters).astype(float).reshape((quality_lm.ALPHABET,) * 3)
     assert np.allclose(p[:, :, :size].sum(axis=2), 1, atol=1e-4)
     three = Counter()
     for t in texts:
@@ -279,6 +280,18 @@ def test_kneser_ney_sums_to_one_and_equals_a_plain_version(spark):
         assert abs(chance(g, [three, two, one]) - p[g]) < 1e-5, g
 
 
+def test_joined_trigrams_score_like_the_table(spark):
+    texts = ["the cat sat", "the dog sat on the mat", "a cat and a dög", "that hat", "", "日本 the cat", "日本 the 本日 dög", None]
+    docs = frame(spark, list(enumerate(texts)))
+    letters = quality_lm.common_characters(docs, "text")
+    model = quality_lm.fit(docs.where("doc_id < 6"), "text", letters, len(letters) + 2)
+    few = quality_lm.fit(docs.where("doc_id < 6"), "text", letters[:5], len(letters) + 2)
+    whole = {r.doc_id: r for r in quality_lm.score(docs, ["doc_id"], "text", letters, model).collect()}
+    for known in (letters[:5], []):  # most or all characters are outside the table then
+        for r in quality_lm.score(docs, ["doc_id"], "text", known, few).collect():
+            assert abs(r.bits - whole[r.doc_id].bits) < 1e-3 and r.chars == whole[r.doc_id].chars == len(texts[r.doc_id] or "") + 1
+
+
 def test_classifier_rejects_junk_only(spark):
     rng = random.Random(6)
     say = lambda: " ".join("".join(rng.choices(["la", "mo", "ti", "re", "sun"], k=rng.randint(1, 3))) for _ in range(60))
