@@ -24,7 +24,9 @@ from corpusloom.llm.common import numbered, per_text, settle
 
 WINDOW = 1024
 #: Chunks of text whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Chunks of text that the library encodes at once; what it gives for each takes hundreds of bytes.
+AT_ONCE = 5_000
 RANK_BITS = 42
 
 
@@ -155,7 +157,9 @@ class ByteTokenizer:
             first, *more = t.split(" ") if not ODD.search(t) else CUT.split(t)
             split.append([first, *(" " + m for m in more)])
         new = list({w for ws in split for w in ws} - self.known.keys())
-        self.known.update(zip(new, self._encode(new), strict=True))
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            self.known.update(zip(some, self._encode(some), strict=True))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
