@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ def numbered(df: DataFrame, column: str) -> DataFrame:
 
 #: Bytes of text that a task works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes that go to a Python worker at once; the session's own setting counts rows, however long, up to 64 MB or more.
+BATCH_BYTES = 4 << 20
 ARROW = {
     "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
@@ -43,23 +46,26 @@ def per_text(docs: DataFrame, keys: list[str], text: str, fields: dict[str, str]
     """The key columns and, for each text, the ``fields`` (name to type) that ``compute`` gives for lists of texts.
 
     Texts reach it as UTF-8, null as empty, in chunks of CHUNK_BYTES, so a task holds one chunk (or one long text).
-    Columns of ``docs`` other than the keys and the text stay behind.
+    Columns of ``docs`` other than the keys and the text stay behind. Sets the session's bytes per Arrow batch.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     source = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
     spark_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{n}` {t}" for n, t in fields.items()])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
-            schema = pa.schema([*list(batch.schema)[: len(keys)], *(pa.field(n, ARROW[t]) for n, t in fields.items())])
+            texts = batch.column(len(keys))
+            sizes = pc.binary_length(texts).to_pylist()
+            schema = pa.schema([*list(batch.schema)[: len(keys)], *(pa.field(f, ARROW[t]) for f, t in fields.items())])
             start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= CHUNK_BYTES or i + 1 == len(texts):
-                    made = compute(texts[start : i + 1])
+            for i, n in enumerate(sizes):
+                size += n
+                if size >= CHUNK_BYTES or i + 1 == len(sizes):
+                    made = compute(texts.slice(start, i + 1 - start).to_pylist())
                     own = [batch.column(k).slice(start, i + 1 - start) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[n], ARROW[t]) for n, t in fields.items())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[f], ARROW[t]) for f, t in fields.items())], schema=schema)
                     start, size = i + 1, 0
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return source.mapInArrow(work, spark_schema)
 
