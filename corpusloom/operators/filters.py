@@ -47,7 +47,7 @@ def is_plain_prompt(prompt: Column, word: str = fixed.PROMPT_WORD) -> Column:
 
 
 # Fixed value: marks of code.
-CODE_MARK = r"```|\{|std::|#include| in range\(|(^|\s)def "
+CODE_MARK = r"```|\{|(^|\s)def | in range\(|std::|#include"
 
 
 def looks_like_code(text: Column) -> Column:
