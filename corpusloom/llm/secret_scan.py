@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import settle, small_side
 
 NAMES = r"(?:tokens?|secrets?|passw(?:or)?d|passphrase|pwd|api[_\- ]?keys?|access[_\- ]?keys?|auth(?:orization)?|bearer|credentials?|private[_\- ]?key|client[_\- ]?secret)"
-#: Kind and pattern of a candidate; its last group is the value. An earlier kind wins where two overlap.
-PATTERNS = (
-    ("key_block", re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?)")),
-    ("known", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_(?:live|test)_[A-Za-z0-9]{16,255}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{8,4096}\.[A-Za-z0-9_\-]{8,4096}\.[A-Za-z0-9_\-]{8,4096})(?![A-Za-z0-9])")),
-    ("assigned", re.compile(r"(?i)(?<![a-z])" + NAMES + r"[\"']?\s{0,8}(?:=>|[:=])\s{0,8}(?:bearer\s)?[\"']?([^\s\"',;<>]{6,512})")),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_=\-])((?=[A-Za-z+/_=\-]{0,512}[0-9])(?=[0-9+/_=\-]{0,512}[A-Za-z])[A-Za-z0-9+/_=\-]{20,4096})(?![A-Za-z0-9+/_=\-])")),
-)
+#: No value has an upper bound of length. Runs are possessive and start at their first character only, so time is linear in the text.
+#: First and last line of a key, and what an open key (no last line before the next key) holds: its headers, then all up to a hyphen.
+KEY_EDGE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+OPEN_KEY = re.compile(r"(?:(?:\s|\\[rn])*+(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*+)*+[^\-]*+")
+KNOWN = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_\-]{35})(?![A-Za-z0-9])")
+#: A run that two further parts of a web token follow, or four, of which the first may be empty; and where in the run the token starts.
+DOTTED = re.compile(r"(?<![W])[W]++(?=(\.[W]{8,}+\.[W]{8,}+(?:\.[W]{8,}+\.[W]{8,}+)?|\.(?:\.[W]{8,}+){3}))".replace("W", r"A-Za-z0-9_\-"))
+WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8}")
+#: A name starts after a character that is no letter, or at an upper-case letter of camel case.
+ASSIGNED = re.compile(r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))(?i:" + NAMES + r"[\"']?\s*+(?:=>|[:=])\s*+(?:bearer\s)?[\"']?)([^\s\"',;<>]{6,}+)")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])(?=[0-9+/_=\-]*+[A-Za-z])[A-Za-z0-9+/_=\-]{20,}+")
+KINDS = ("key_block", "known", "assigned", "random")
 #: Common words of code and prose, and words that speak for or against a secret near a candidate or in its path.
 WORDS = tuple("""about access account admin after all and any api app application array auth base before block build bytes cache call
 change check class client code color commit common component config connection const content context control copy count create
@@ -96,18 +101,48 @@ def features(value: str, kind: str, left: str, right: str, path: str) -> list[fl
     ]
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    edges = list(KEY_EDGE.finditer(text))
+    return [(m.start(), after.end() if after and after[1] == "END" else OPEN_KEY.match(text, m.end()).end())
+            for m, after in zip(edges, [*edges[1:], None], strict=False) if m[1] == "BEGIN"]
+
+
+def web_tokens(text: str) -> list[tuple[int, int]]:
+    if "eyJ" not in text:
+        return []
+    return [(t.start(), m.end(1)) for m in DOTTED.finditer(text) if (t := WEB_TOKEN.search(text, m.start(), m.end()))]
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the values in a text, in order; kinds that come later give way."""
-    found: list[tuple[str, int, int]] = []
-    for kind, pattern in PATTERNS:
-        spans = [m.span(m.lastindex) for m in pattern.finditer(text)]
-        taken, k = sorted((s, e) for _, s, e in found), 0
-        for start, end in spans:
-            while k < len(taken) and taken[k][1] <= start:
-                k += 1
-            if k == len(taken) or taken[k][0] >= end:
-                found.append((kind, start, end))
-    return sorted(found, key=lambda x: x[1])
+    """(kind, start, end) of the values in a text, in order and apart from each other.
+
+    Overlapping values are one from the first start to the last end, so the longer wins, under the earlier of their kinds. A random run
+    gives way to them and to the name of an assigned value; what is left of it on either side is looked at as a run of its own.
+    """
+    assigned = [(m.start(), *m.span(1)) for m in ASSIGNED.finditer(text)]
+    spans = [*((s, e, 0) for s, e in key_blocks(text)), *((*m.span(1), 1) for m in KNOWN.finditer(text)),
+             *((s, e, 1) for s, e in web_tokens(text)), *((s, e, 2) for _, s, e in assigned)]
+    found: list[list[int]] = []
+    for start, end, kind in sorted(spans):
+        if found and start < found[-1][1]:
+            found[-1][1:] = max(end, found[-1][1]), min(kind, found[-1][2])
+        else:
+            found.append([start, end, kind])
+    taken, k = sorted([(s, e) for s, e, _ in found] + [(n, e) for n, _, e in assigned]), 0
+    for m in RANDOM.finditer(text):
+        at, end = m.span()
+        pieces = []
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][1] > at:
+                pieces.append((at, taken[k][0]))
+                at = taken[k][1]
+            if taken[k][1] > end:
+                break  # it may reach into the next run
+            k += 1
+        for s, e in [*pieces, (at, end)]:
+            if e - s >= 20 and (not pieces or re.search("[0-9]", text[s:e]) and re.search("[A-Za-z]", text[s:e])):
+                found.append([s, e, 3])
+    return [(KINDS[kind], start, end) for start, end, kind in sorted(found)]
 
 
 def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple]:
@@ -121,6 +156,14 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple]:
     quiet = ["tests/test_api.py", "docs/example.md", "samples/demo.js", "package-lock.json"]
     prose = lambda: " ".join("".join(draw.choices(syllables, k=draw.randint(1, 4))) for _ in range(4))
     word = lambda: draw.choice(WORDS)
+    long = lambda: int(2 ** draw.uniform(7, 11))
+
+    def pem() -> str:
+        name, body = draw.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]), pick(alnum + "+/", long())
+        fold = draw.choice(["\n", "\\n"])
+        head = f"Proc-Type: 4,ENCRYPTED{fold}DEK-Info: AES-128-CBC,{pick(hexes, 32)}{fold}{fold}" if draw.random() < 0.2 else ""
+        return f"-----BEGIN {name}PRIVATE KEY-----{fold}{head}{fold.join(re.findall('.{1,64}', body))}{fold}-----END {name}PRIVATE KEY-----"
+
     rows = []
     for i in range(n):
         if i % 2:
@@ -128,9 +171,14 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple]:
                 ("assigned", pick(hexes, draw.choice([32, 40, 48, 64]))), ("assigned", pick(alnum, draw.randint(16, 64))),
                 ("assigned", pick(alnum + "+/", draw.randint(20, 60)) + draw.choice(["", "=", "=="])), ("assigned", pick(alnum + "!@#_-", draw.randint(10, 18)) + pick("0123456789", 2)),
                 ("known", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)), ("known", "ghp_" + pick(alnum, 36)), ("known", "sk_live_" + pick(alnum, 24)),
-                ("random", pick(alnum, draw.randint(32, 64)))])
+                ("random", pick(alnum, draw.randint(32, 64))), ("random", pick(alnum + "+/", long()) + draw.choice(["", "=", "=="])),
+                ("assigned", pick(alnum + "+/", long()) + draw.choice(["", "=", "=="])), ("assigned", pick(hexes, long())),
+                ("known", "eyJ" + ".".join(pick(alnum + "_-", n) for n in (draw.randint(17, 200), long(), draw.randint(43, 342)))),
+                ("key_block", pem())])
             name = draw.choice(["token", "secret", "password", "api_key", "auth token", "private key", "access_key"])
-            rows.append((value, kind, f'{prose()} {name} = "', f'" {prose()}', draw.choice(paths if draw.random() < 0.9 else quiet), 1))
+            bare = kind == "key_block" or kind != "assigned" and any(c.isupper() for c in value) and draw.random() < 0.5
+            left, right = (f"{prose()} ", f" {prose()}") if bare else (f'{prose()} {name} = "', f'" {prose()}')
+            rows.append((value, kind, left, right, draw.choice(paths if draw.random() < 0.9 else quiet), 1))
         else:
             what = draw.randrange(8)
             kind, left = "random", prose() + " "
@@ -146,7 +194,7 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple]:
             elif what == 4:
                 value = "".join(draw.choices(syllables, k=draw.randint(10, 16))) + str(draw.randint(0, 9))
             elif what == 5:
-                value, left = pick(alnum + "+/", draw.randint(60, 200)), "data:image/png;base64,"
+                value, left = pick(alnum + "+/", draw.choice([draw.randint(60, 200), long()])), "data:image/png;base64,"
             elif what == 6:
                 value = pick("0123456789", draw.randint(8, 14)) + draw.choice(["-", "_", "x", "e"]) + pick("0123456789", draw.randint(8, 12))
             else:
