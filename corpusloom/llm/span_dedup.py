@@ -2,8 +2,9 @@
 
 From every sentence on, the shortest run of several consecutive sentences that has enough words is hashed. Equal hashes are
 joined over all documents; of the places of a span the first stays, and the sentences that any other covers are removed.
-A sentence ends at a line end or after a word that ends in ``.``, ``!`` or ``?``. A longer one is cut after words picked by
-their own hash, so that the same passage is cut alike in any surroundings. A-Z count as a-z; white space does not matter.
+A sentence ends at a line end or after a word that ends in ``.``, ``!`` or ``?``. A longer one is cut after the word with the
+lowest hash in each window of words without such an end, so every window has a boundary, and the same passage has the same
+boundaries in any surroundings, from its second word on. A-Z count as a-z; white space does not matter.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Spans:
-    """A span has ``sentences`` consecutive sentences or more and ``words`` words or more; sentences over ``long`` words are cut
-    after about every ``every``-th word."""
+    """A span has ``sentences`` consecutive sentences or more and ``words`` words or more; any ``window`` words that follow each
+    other have a boundary before one of them. So a repeated passage has its first boundary after ``window`` words at most, a
+    boundary that ends a span another ``words + window - 1`` words on at most, or two windows on: 50 words hold a full span
+    for windows of up to 16 words."""
 
     sentences: int = 2
     words: int = 15
-    long: int = 40
-    every: int = 12
+    window: int = 11
 
 
 def sentence_starts(texts: list[bytes], rule: Spans):
@@ -45,15 +47,21 @@ def sentence_starts(texts: list[bytes], rule: Spans):
     lines = np.cumsum(raw == 0x0A)
     new_line = np.r_[True, lines[start[1:]] != lines[end[:-1] - 1]]
     begins = new_line | np.r_[True, STOPS[raw[end[:-1] - 1]]]
-    at = np.flatnonzero(begins)
-    size = np.diff(np.r_[at, len(words)])
-    long = np.repeat(size > rule.long, size)
-    begins |= long & np.r_[False, mix(words[:-1] ^ FACTOR) % np.uint64(rule.every) == 0]
+    windows = len(words) - rule.window + 1
+    if windows > 0:
+        value = np.r_[np.uint64(0), mix(words[:-1] ^ FACTOR)]
+        lowest, at = value[:windows].copy(), np.arange(windows)
+        for j in range(1, rule.window):
+            lower = value[j : j + windows] <= lowest
+            lowest[lower] = value[j : j + windows][lower]
+            at[lower] = np.flatnonzero(lower) + j
+        seen = np.r_[0, np.cumsum(begins)]
+        begins[at[seen[rule.window :] == seen[:windows]]] = True
     return words, first, np.flatnonzero(begins), start
 
 
 def run_of_spans(texts: list[bytes], rule: Spans) -> dict:
-    """For each text and sentence, the hash of the span that starts there and its length in sentences; 0 where none fits."""
+    """For each text and sentence, the hash of the span that starts there, null where none fits, and its length in sentences."""
     words, first, at, _ = sentence_starts(texts, rule)
     n = len(at)
     bounds = np.searchsorted(at, first)  # sentences of each text
@@ -73,11 +81,11 @@ def run_of_spans(texts: list[bytes], rule: Spans) -> dict:
     h = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)
     cut = list(zip(bounds[:-1], bounds[1:], strict=True))
     length = np.where(fits, stop - k, 0)
-    return {"hashes": [h[i:j] for i, j in cut], "lengths": [length[i:j] for i, j in cut]}
+    return {"hashes": [pa.array(h[i:j], mask=~fits[i:j]) for i, j in cut], "lengths": [length[i:j] for i, j in cut]}
 
 
-def without_sentences(text: bytes, spans: list[dict], rule: Spans) -> tuple[bytes, int, int]:
-    """The text without the sentences of these spans, how many it had, and how many went.
+def without_sentences(text: bytes, spans: list[int], rule: Spans) -> tuple[bytes, int, int]:
+    """The text without the sentences of the spans that start at these sentences, how many it had, and how many went.
 
     A sentence goes with the white space up to the next.
     """
@@ -86,23 +94,26 @@ def without_sentences(text: bytes, spans: list[dict], rule: Spans) -> tuple[byte
         return text, len(at), 0
     edge = np.r_[start[at], len(text)]
     keep = np.ones(len(at), bool)
+    length = run_of_spans([text], rule)["lengths"][0]
     for s in spans:
-        keep[s["pos"] : s["pos"] + s["length"]] = False
+        keep[s : s + length[s]] = False
     return text[: edge[0]] + b"".join(text[edge[i] : edge[i + 1]] for i in np.flatnonzero(keep)), len(at), int((~keep).sum())
 
 
 def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
-    """(id, body, removed): the spans (pos, length) of each text that have an earlier place, counted in sentences.
+    """(id, body, removed): the first sentences of the spans of each text that have an earlier place.
 
-    ``docs`` has (id, body, text). First is the smallest (id, body, place); a null id comes first.
+    ``docs`` has (id, body, text). First is the smallest (id, body, place); a null id comes first. Only hashes are shuffled
+    to find the repeated ones; lengths are found again from the text.
     """
-    runs = settle(per_text(docs, ["id", "body"], "text", {"hashes": "array<long>", "lengths": "array<long>"}, lambda t: run_of_spans(t, rule)))
-    spans = runs.select("id", "body", F.posexplode(F.arrays_zip("hashes", "lengths")).alias("pos", "s")).select(
-        "id", "body", "pos", F.col("s.hashes").alias("hash"), F.col("s.lengths").alias("length")).where("length > 0")
+    runs = settle(per_text(docs, ["id", "body"], "text", {"hashes": "array<long>"}, lambda t: run_of_spans(t, rule)))
+    spans = runs.select("id", "body", F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
     place = F.struct("id", "body", "pos")
-    repeated = settle(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1").select("hash", "first"))
-    later = spans.join(repeated, "hash").where(place != F.col("first"))
-    return later.groupBy("id", "body").agg(F.collect_set(F.struct("pos", "length")).alias("removed"))
+    repeated = settle(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"))
+    places = settle(spans.join(repeated, "hash"))
+    first = settle(places.groupBy("hash").agg(F.min(place).alias("first")))
+    later = places.join(first, "hash").where(place != F.col("first"))
+    return later.groupBy("id", "body").agg(F.collect_set("pos").alias("removed"))
 
 
 def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Spans = Spans()) -> DataFrame:

@@ -116,6 +116,29 @@ def test_spans_without_marks_and_in_one_text(spark):
     assert span_dedup.drop_repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_passages_at_any_offset_hold_a_span(spark):
+    """All passages of 50 to 60 words are found; of their words, more than half go."""
+    rng = random.Random(6)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, sizes = [], {}
+    for i in range(200):
+        source = [w + (rng.choice(["", "."]) if i % 2 and not j % 35 else "") for j, w in enumerate(own(300))]
+        at, n = rng.randrange(200), 50 + i % 11
+        rows += [(i, " ".join(source)), (1000 + i, " ".join(own(rng.randrange(60)) + source[at : at + n] + own(rng.randrange(60))))]
+        sizes[1000 + i] = n
+    whole = own(35)
+    whole[-1] += "."
+    for i in (500, 1500):
+        rows.append((i, " ".join([*own(20), "a1", "a2", "a3", "a4", "a5", "a6", "a7", "a8.", *whole, "c1", "c2", "c3", "c4", "c5", "c6", "c7", "c8", *own(20)])))
+    got = {r.doc_id: r for r in span_dedup.drop_repeated_spans(frame(spark, rows)).collect()}
+    assert all(r.n_removed == 0 for i, r in got.items() if i < 1000) and all(got[i].n_removed >= 2 for i in [*sizes, 1500])
+    text = dict(rows)
+    gone = {i: len(text[i].split()) - len(got[i].text.split()) for i in sizes}
+    assert all(15 <= gone[i] <= n for i, n in sizes.items())
+    print("share of the passages' words removed:", round(sum(gone.values()) / sum(sizes.values()), 3))
+    assert sum(gone.values()) > 0.5 * sum(sizes.values())
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     got = span_dedup.drop_repeated_spans(frame(spark, [(1, PASSAGE), (1, PASSAGE), (1, "Other text."), (None, "No id.")])).collect()
     assert sorted(r.text for r in got) == sorted([PASSAGE, PASSAGE, "Other text.", "No id."])
