@@ -21,9 +21,9 @@ from corpusloom.llm.common import per_text
 META = "▁".encode()
 #: Words whose ids a Python worker remembers; then it starts anew.
 REMEMBERED = 200_000
-#: A space between two characters other than spaces.
-CUT = re.compile("(?<=[^ ]) (?=[^ ])")
-ODD = re.compile("^ | $|  ")
+#: A space between two characters other than spaces and U+2581, which is the same symbol to the model.
+CUT = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
+ODD = re.compile("^ | $|  | ▁|▁ ")
 CONTROL_TYPE, BYTE_TYPE, UNKNOWN_TYPE, USER_TYPE, BPE_MODEL = 3, 6, 2, 4, 2
 
 

@@ -160,6 +160,15 @@ def test_piece_round_trip(spark):
     assert s.ids == library.encode(ODD[8][1]) and (s.starts[0], s.ends[-1]) == (0, len(text)) and spans[1].ids == []
 
 
+def test_space_symbol_in_texts_gives_the_librarys_ids():
+    coder, rng = pieces.PieceCoder(queries.vocabulary("piece_bpe_32k.model")), random.Random(9)
+    texts = ["▁ ▁", "▂▁ ▁▂ a", "a ▁b", "a▁ b", "▁", " ▁", "x▁y z", "load ▁▂▃ ▁▁ ▁ end", *("".join(rng.choices(" ▁ab▂\n", k=rng.randrange(1, 12))) for _ in range(3000))]
+    assert coder.by_word and coder.ids(texts) == coder.library.encode(texts)
+    for text, ids in zip(texts, coder.ids(texts), strict=True):
+        start, end = coder.spans(text.encode(), ids)
+        assert len(start) == len(ids) and end[-1] == len(text.encode())
+
+
 def double_array(entries: dict[bytes, bytes]) -> bytes:
     """A character map in the compiled layout, made by placing the nodes of a trie one after the other."""
     texts, at = b"", {}
