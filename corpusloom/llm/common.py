@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,14 +44,32 @@ ARROW = {
 }
 
 
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_BYTES. Sets the session's bytes per Arrow batch; a worker gives free memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; the worker lives on with whatever it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_text(docs: DataFrame, keys: list[str], text: str, fields: dict[str, str],
              compute: Callable[[list[bytes]], dict]) -> DataFrame:
     """The key columns and, for each text, the ``fields`` (name to type) that ``compute`` gives for lists of texts.
 
     Texts reach it as UTF-8, null as empty, in chunks of CHUNK_BYTES, so a task holds one chunk (or one long text).
-    Columns of ``docs`` other than the keys and the text stay behind. Sets the session's bytes per Arrow batch.
+    Columns of ``docs`` other than the keys and the text stay behind.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     source = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
     spark_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{n}` {t}" for n, t in fields.items()])
 
@@ -65,9 +86,8 @@ def per_text(docs: DataFrame, keys: list[str], text: str, fields: dict[str, str]
                     own = [batch.column(k).slice(start, i + 1 - start) for k in range(len(keys))]
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[f], ARROW[t]) for f, t in fields.items())], schema=schema)
                     start, size = i + 1, 0
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return source.mapInArrow(work, spark_schema)
+    return map_arrow(source, work, spark_schema)
 
 
 #: Rows of ids that may be broadcast: 16 bytes each, so 8 MB. Longer lists are joined by a shuffle.

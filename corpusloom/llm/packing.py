@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -85,9 +86,13 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), np.int64).reshape(-1, 7), sequence
 
 
-def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+Plan = Callable[[dict[int, int], int], list[tuple[int, dict[int, int]]]]
+
+
+def pack_pieces(pieces: DataFrame, window: int = WINDOW, plan: Plan = plan_windows) -> DataFrame:
     """Adds ``sequence_id``, ``offset`` and ``sequence_tokens`` to pieces with (row, part, length), 1 <= length <= window.
 
+    ``plan`` deals the histogram of the lengths below ``window`` to sequences.
     ``row`` comes from `numbered`; (row, part) is unique, and one row has at most one piece shorter than the window. Only the
     histogram of lengths, a number per length, and a count of full pieces per source partition pass through one place.
     """
@@ -95,7 +100,7 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     full, rest = dealt.where(F.col("length") == window), dealt.where(F.col("length") < window)
     per_part = settle(rest.groupBy("length", "_from").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table, n_rest = places(plan_windows(counts, window))
+    table, n_rest = places(plan(counts, window))
     shared = pieces.sparkSession.sparkContext.broadcast(table)  # a row per length and choice
 
     @F.pandas_udf("sequence_id long, offset long, sequence_tokens long")

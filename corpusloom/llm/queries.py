@@ -7,16 +7,19 @@ import os
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
+    best_fit,
     chat_paths,
     exact_dedup,
     jaccard_join,
     licenses,
     packing,
+    periodic,
     pieces,
     quality_lm,
     repetition,
     secret_scan,
     span_dedup,
+    whitening,
 )
 from corpusloom.llm.common import table
 
@@ -100,6 +103,18 @@ def op10_license_scan(spark, d):
     return licenses.scan_licenses(table(spark, d, "documents"))
 
 
+def op11_periodic_runs(spark, d):
+    return periodic.run_digests(periodic.periodic_runs(periodic.tiled(table(spark, d, "documents"))))
+
+
+def op12_best_fit(spark, d):
+    return best_fit.pack_whole(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_whiten(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
@@ -111,6 +126,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_piece_encode": op9_piece_encode,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit": op12_best_fit,
+    "op13_whiten": op13_whiten,
 }
 ORACLE = {
     "op2_exact_dedup": OP2_SQL,

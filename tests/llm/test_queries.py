@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
