@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.fixed_values import UUID_NAMESPACE_OID
+from corpusloom.fixed_values import MAX_TOKEN_CHARS, UUID_NAMESPACE_OID
 
 SPACE = r" \t\n\r\f"
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -15,6 +15,9 @@ LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 PIECE = rf"[^{SPACE}]+"
 # A word run is taken whole (no backtracking), so what the second part meets is never a word character.
 WORD_OR_MARK = rf"[{WORD_CHAR}]++|[^{SPACE}]"
+# Scripts that are written without spaces between words, or in syllable blocks; the next pattern finds one character of them.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Hangul", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+UNSPACED_CHAR = "([" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + "])"
 TOKENIZERS = ("word", "word_or_mark", "char", "byte")
 
 
@@ -78,11 +81,18 @@ def line_count(text: Column) -> Column:
 
 
 def tokens(text: Column, kind: str) -> Column:
-    """Token texts of a native tokenizer."""
+    """Token texts of a native tokenizer.
+
+    ``vocab_word`` gives words and marks of at most MAX_TOKEN_CHARS: a longer word is cut there, and each character of a script
+    without spaces is a token, so no text is out of a word vocabulary's reach as a whole.
+    """
     if kind == "word":
         return F.regexp_extract_all(text, F.lit(PIECE), 0)
     if kind == "word_or_mark":
         return F.regexp_extract_all(text, F.lit(WORD_OR_MARK), 0)
+    if kind == "vocab_word":  # what a vocabulary of whole words can hold
+        apart = F.regexp_replace(text, UNSPACED_CHAR, " $1 ")
+        return F.regexp_extract_all(apart, F.lit(rf"[{WORD_CHAR}]{{1,{MAX_TOKEN_CHARS}}}|[^{SPACE}]"), 0)
     if kind == "char":
         return F.regexp_extract_all(text, F.lit(r"(?s)."), 0)
     if kind == "byte":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fixed
-from corpusloom.functions.text import WORD_CHAR, is_blank, latin_share
+from corpusloom.functions.text import ANY_SPACE, WORD_CHAR, is_blank, latin_share
 
 EXCLUDED_CATEGORY = "mathjson"
 
@@ -46,8 +46,8 @@ def is_plain_prompt(prompt: Column, word: str = fixed.PROMPT_WORD) -> Column:
     )
 
 
-# Fixed value: marks of code.
-CODE_MARK = r"```|\{|(^|\s)def | in range\(|std::|#include"
+# Fixed value: marks of code. White space of any script counts before a definition.
+CODE_MARK = rf"```|\{{|(^|[{ANY_SPACE}])def | in range\(|std::|#include"
 
 
 def looks_like_code(text: Column) -> Column:

@@ -41,6 +41,19 @@ def translate_conversations(turns: DataFrame, cache: DataFrame, id: str = "id")
     return assemble(found, id, "value_ja", keep=ready)
 
 
+def translate_without_refusals(turns: DataFrame, cache: DataFrame, verdicts: DataFrame, id: str = "id") -> DataFrame:
+    """Translated conversations, without those of which a translated turn is refused.
+
+    The verdict is on the translated text, by its id; a conversation with a blank or untranslated turn is dropped before.
+    Texts still to be checked do not drop one.
+    """
+    found = lookup(turns, cache, [id, "idx"])
+    outputs = found.where(~is_blank(F.col("value_ja"))).select(id, "idx", F.col("value_ja").alias("value"))
+    checked = check_refusals(outputs, verdicts, [id, "idx"])
+    ready = F.coalesce(~is_blank(F.col("value")) & ~is_blank(F.col("value_ja")), F.lit(False))
+    return drop_refused(assemble(found, id, "value_ja", keep=ready), checked, id)
+
+
 def translate_system_only(turns: DataFrame, cache: DataFrame, fresh: DataFrame, id: str = "id") -> DataFrame:
     """Turn rows with system texts from the cache and all others, and misses, from fresh output ``(id, idx, fresh)``."""
     found = lookup(turns, cache, [id, "idx"], when=F.col("from") == "system")

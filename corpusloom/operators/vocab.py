@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -71,11 +73,14 @@ def word_counts(docs: DataFrame, text: str = "text", kind: str = "word_or_mark")
     )
 
 
-def top_words(docs: DataFrame, k: int, text: str = "text", max_chars: int = fixed.MAX_TOKEN_CHARS) -> DataFrame:
-    """The k most frequent words of at most ``max_chars`` as ``(token, n)``; k is a vocabulary size."""
+def top_words(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """The k most frequent words as ``(token, n)``; k is a vocabulary size.
+
+    No text is left out: words beyond MAX_TOKEN_CHARS count by their parts, unspaced scripts by character.
+    """
     if k > fixed.VOCAB_LIMIT:
         raise ValueError(f"a vocabulary has at most {fixed.VOCAB_LIMIT} tokens")
-    return word_counts(docs, text).where(F.length("token") <= max_chars).orderBy(F.desc("n"), "token").limit(k)
+    return word_counts(docs, text, "vocab_word").orderBy(F.desc("n"), "token").limit(k)
 
 
 def number_tokens(vocab: DataFrame, order: list[Column], start: Column | int) -> DataFrame:
@@ -108,14 +113,25 @@ def symbol_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words of one character have no pair and are left out.
     """
-    marked = F.regexp_replace("token", r"(?s)(.)", f"{OPEN}$1{CLOSE}")
-    return word_counts(docs, text).where(F.length("token") > 1).select(marked.alias("symbols"), "n")
+    return word_counts(docs, text).where(F.length("token") > 1).select("token", as_symbols(F.col("token")).alias("symbols"), "n")
+
+
+def as_symbols(word: Column) -> Column:
+    """A word as a run of bracketed characters."""
+    return F.regexp_replace(word, r"(?s)(.)", f"{OPEN}$1{CLOSE}")
+
+
+def symbol_list(symbols: Column) -> Column:
+    return F.split(F.substring(symbols, F.lit(2), F.length(symbols) - 2), f"{CLOSE}{OPEN}")
+
+
+def _pair(left: str, right: str) -> str:
+    return f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word count."""
-    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
-    listed = words.select(F.split(inner, f"{CLOSE}{OPEN}").alias("_s"), "n").where(F.size("_s") > 1)
+    listed = words.select(symbol_list(F.col("symbols")).alias("_s"), "n").where(F.size("_s") > 1)
     sides = listed.select(
         F.slice("_s", F.lit(1), F.size("_s") - 1).alias("left"), F.slice("_s", F.lit(2), F.size("_s") - 1).alias("right"), "n"
     )
@@ -123,26 +139,87 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.groupBy("_p.left", "_p.right").agg(F.sum("n").alias("n"))
 
 
-def merge_rounds(docs: DataFrame, rounds: int, text: str = "text", keep_every: int = 16) -> DataFrame:
+def next_merges(best: list[tuple[str, str, int]], complete: bool, most: int) -> list[tuple[str, str, int]]:
+    """The first pairs of a ranking that are merged one after the other whatever the earlier ones change.
+
+    ``best`` are pairs by falling count, then by text; ``complete`` says that there are no others. A merge of (a, b) changes only pairs that
+    end in a or begin with b. As long as no such pair stands before the next one, none of what the merge makes can pass that
+    next one: it is not more frequent than the pair it is made of. Where it could be as frequent, the order by text decides,
+    so the run ends before such a tie, and after a pair of equal sides, which changes itself.
+    """
+    taken, lefts, rights = [], set(), set()
+    for at, (left, right, n) in enumerate(best[:most]):
+        tied = [p for p in best[at + 1 :] if p[2] == n]
+        unseen = not complete and best[-1][2] == n
+        if taken and (left in rights or right in lefts or unseen or any(p[0] in rights for p in tied)):
+            break
+        taken.append((left, right, n))
+        lefts.add(left)
+        rights.add(right)
+        if left == right:
+            break
+    return taken
+
+
+def merge_rounds(docs: DataFrame, rounds: int, text: str = "text", keep_every: int = 4, ranked: int = 1024) -> DataFrame:
     """Learned merges ``(round, left, right, n)``, most frequent pair first, ties by pair.
 
-    The distinct words are checkpointed once and again every ``keep_every`` rounds, to bound the plan. Each round
-    brings one row, its best pair, to the driver.
+    Pairs are counted once over the distinct words. Then each job applies a run of merges that do not touch each other
+    (`next_merges`) and counts anew only the words that hold one of them: what these words lose and gain is added to the table
+    of counts. The driver sees the ``ranked`` best pairs of a job, words and counts stay in tables.
     """
     shared_folder(docs.sparkSession)
-    words = symbol_words(docs, text).checkpoint()
-    merges = []
-    for number in range(1, rounds + 1):
-        best = pair_counts(words).orderBy(F.desc("n"), "left", "right").first()
-        if best is None:
+    words = symbol_words(docs, text).drop("token").checkpoint()
+    counts = pair_counts(words).checkpoint()
+    merges: list[tuple[str, str, int]] = []
+    jobs = 0
+    while len(merges) < rounds:
+        best = [tuple(r) for r in counts.orderBy(F.desc("n"), "left", "right").limit(ranked).collect()]
+        run = next_merges(best, len(best) < ranked, rounds - len(merges))
+        if not run:
             break
-        left, right, n = best
-        merges.append((number, left, right, n))
-        pair = f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"
-        words = words.withColumn("symbols", F.replace("symbols", F.lit(pair), F.lit(f"{OPEN}{left}{right}{CLOSE}")))
-        if number % keep_every == 0:
+        merges += run
+        jobs += 1
+        merged, hit = F.col("symbols"), F.lit(False)
+        for left, right, _ in run:
+            merged = F.replace(merged, F.lit(_pair(left, right)), F.lit(f"{OPEN}{left}{right}{CLOSE}"))
+            hit = hit | F.contains(F.col("symbols"), F.lit(_pair(left, right)))
+        touched = words.where(hit)
+        gone = pair_counts(touched).withColumn("n", -F.col("n"))
+        new = pair_counts(touched.withColumn("symbols", merged))
+        changed = counts.unionByName(gone).unionByName(new).groupBy("left", "right").agg(F.sum("n").alias("n"))
+        counts = changed.where("n > 0").checkpoint()
+        words = words.withColumn("symbols", merged)
+        if jobs % keep_every == 0:
             words = words.checkpoint()
-    return docs.sparkSession.createDataFrame(merges, "round long, left string, right string, n long")
+    rows = [(i, *m) for i, m in enumerate(merges, 1)]
+    return docs.sparkSession.createDataFrame(rows, "round long, left string, right string, n long")
+
+
+def encode_words(words: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(token, symbols)``: each distinct word of ``words`` (token) cut by learned merges, lowest round first.
+
+    In each round every word that holds a learned pair merges its lowest one, at all its places; a word without any is
+    done and stays behind. Pairs meet the merges, which are at most VOCAB_LIMIT rows, in a broadcast join, so there are as many rounds as the
+    longest word has merges, over fewer and fewer words.
+    """
+    shared_folder(words.sparkSession)
+    known = F.broadcast(merges.select("round", "left", "right").limit(fixed.VOCAB_LIMIT))
+    active = words.select("token", as_symbols(F.col("token")).alias("symbols")).distinct().checkpoint()
+    done = []
+    while True:
+        sides = active.select("token", "symbols", symbol_list(F.col("symbols")).alias("_s"))
+        pairs = F.arrays_zip(F.col("_s").alias("left"), F.slice("_s", F.lit(2), F.size("_s")).alias("right"))
+        listed = sides.where(F.size("_s") > 1).select("token", F.inline(pairs))
+        lowest = listed.join(known, ["left", "right"]).groupBy("token").agg(F.min(F.struct("round", "left", "right")).alias("_m"))
+        found = active.join(lowest, "token", "left").checkpoint()
+        done.append(found.where("_m is null").select("token", "symbols"))
+        pair = F.concat(F.lit(OPEN), "_m.left", F.lit(CLOSE + OPEN), "_m.right", F.lit(CLOSE))
+        both = F.concat(F.lit(OPEN), "_m.left", "_m.right", F.lit(CLOSE))
+        active = found.where("_m is not null").select("token", F.replace("symbols", pair, both).alias("symbols"))
+        if active.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done).select("token", symbol_list(F.col("symbols")).alias("symbols"))
 
 
 def is_digit_token(token: Column) -> Column:
@@ -198,7 +275,7 @@ def sft_tokens(conversation: Column, max_len: int, system_text: str = fixed.SYST
         return piece(F.lit(token), kept)
 
     def block(head: list[Column], value: Column, kept: Column | bool) -> Column:
-        body = F.transform(tokens(F.coalesce(value, F.lit("")), "word_or_mark"), lambda t: F.struct(
+        body = F.transform(tokens(F.coalesce(value, F.lit("")), "vocab_word"), lambda t: F.struct(
             t.alias("token"), (F.lit(kept) if isinstance(kept, bool) else kept).alias("label")))
         return F.concat(F.array(mark(IM_START, True), *head), body, F.array(mark(IM_END, True), mark(LINE, True)))
 

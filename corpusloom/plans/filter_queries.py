@@ -82,7 +82,7 @@ QUERIES = {f.__name__: f for f in (
 PLAIN = f"""(NOT contains(prompt, 'translat') AND NOT coalesce(length(prompt) / nullif(strlen(prompt), 0) <= 0.95, false)
   AND {o.count_re('prompt', r'[\p{L}\p{N}_]{15,}')} < 7)"""
 CODE = " OR ".join(
-    [f"contains(ja, '{m}')" for m in ("```", "{", "std::", "#include")] + [r"regexp_matches(ja, '(^|[ \t\n\x0B\f\r])def | in range\(')"]
+    [f"contains(ja, '{m}')" for m in ("```", "{", "std::", "#include")] + [rf"regexp_matches(ja, '(^|[{o.SPACE}])def | in range\(')"]
 )
 
 ORACLE = {

@@ -7,6 +7,8 @@ from corpusloom.plans import views
 SPACE = r"\x09-\x0D\x1C-\x20\x85\p{Z}"
 PIECE = r"[^ \t\n\r\f]+"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f]"
+UNSPACED_CHAR = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
+VOCAB_WORD = r"[\p{L}\p{N}_]{1,24}|[^\p{L}\p{N}_ \t\n\r\f]"
 
 
 def text(value: str) -> str:
@@ -49,6 +51,7 @@ def tokens(x: str, kind: str) -> str:
     return {
         "word": f"regexp_extract_all({x}, '{PIECE}')",
         "word_or_mark": f"regexp_extract_all({x}, '{WORD_OR_MARK}')",
+        "vocab_word": f"regexp_extract_all(regexp_replace({x}, '{UNSPACED_CHAR}', ' \\1 ', 'g'), '{VOCAB_WORD}')",
         "char": f"regexp_extract_all({x}, '(?s).')",
         "byte": f"regexp_extract_all(hex(encode({x})), '..')",
     }[kind]
@@ -110,6 +113,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
   FROM documents"""),
     "verdicts": (["turns"], f"""SELECT {uuid5('value')} AS id, {b('value', 20)} = 0 AS refusal
   FROM (SELECT DISTINCT value FROM turns) WHERE {b('value', 4)} = 0"""),
+    "verdicts_ja": (["cache"], f"""SELECT {uuid5('prompt_ja')} AS id, bool_or({b("'verdict|' || prompt_en", 16)} = 0) AS refusal FROM cache
+  WHERE {b("'verdict|' || prompt_en", 16)} < 8 GROUP BY 1"""),
     "judge_replies": (["turns"], f"""SELECT id, idx, CASE {b('value', 4)} WHEN 0 THEN 'Yes.' WHEN 1 THEN ' no' WHEN 2 THEN '' END AS response FROM turns"""),
     "first_user": (["turns"], """SELECT id, arg_min(value, idx) AS text FROM turns WHERE "from" = 'user' GROUP BY id"""),
     "first_assistant": (["turns"], """SELECT id, arg_min(value, idx) AS text FROM turns WHERE "from" = 'assistant' GROUP BY id"""),

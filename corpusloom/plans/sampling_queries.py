@@ -70,15 +70,15 @@ def _mc_text(df):
 
 
 def mixture_build(spark, d):
-    """Drawn documents of both language groups (10:1), capped training rows and benchmark texts, in hash order."""
+    """Drawn documents of both language groups (10:1), capped training rows and benchmark texts of all six layouts, in hash order."""
     docs, target = _docs(spark, d), views.labeled(spark, d)
     parts = []
     for foreign, n in ((True, DRAWN), (False, DRAWN_SMALL)):
         side = (F.col("lang") != "en") if foreign else (F.col("lang") == "en")
         parts.append(sampling.resample(docs.where(side), target.where(side), "doc_id", "text", "doc_id", "text", n, SEED))
     parts.append(sampling.cap_per_source(target, CAP, "source", "doc_id", SEED))
-    mc = views.multiple_choice(spark, d)
-    parts.append(mc.select(_mc_text(mc).alias("text")))
+    formats = (fmt_multiple_choice_columns, fmt_passage_spans, fmt_definition_io, fmt_question_answer, fmt_option_pick, fmt_choice_arrays)
+    parts += [f(spark, d) for f in formats]
     return sampling.concat_sources(parts).sort(conv_ops.order_hash(SEED, F.col("text")))
 
 
@@ -164,6 +164,10 @@ def ranked(source: str, key: str, by: str = "") -> str:
 
 CAPPED = f"SELECT * FROM ({ranked('labeled', 'doc_id', 'source')}) WHERE rn <= {CAP}"
 MC = " || chr(10) || ".join(["input", "'A. ' || A", "'B. ' || B", "'C. ' || C", "'D. ' || D", "target"])
+SPANS = f"passage || {NL} || question || {NL} || array_to_string(spans, ', ')"
+DEFINED = f"question || {NL} || passage || {NL} || array_to_string(spans, ' ')"
+ANSWERED = f"instruction || {NL} || output"
+PICKED = f"question || {NL} || spans[{o.b('doc_id::VARCHAR', 2)} + 1]"
 
 ORACLE = {
     "dsir_ngram_features": f"SELECT id AS doc_id, bucket, count(*) AS n FROM ({grams('documents', 'doc_id')}) GROUP BY ALL",
@@ -178,19 +182,22 @@ ORACLE = {
     "file_sample": f"""SELECT source, doc_id, text FROM documents WHERE source IN
   (SELECT source FROM ({ranked('(SELECT DISTINCT source FROM documents)', 'source')}) WHERE rn <= 2)""",
     "concat_sources": "SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM conversations",
-    "mixture_build": with_views(["labeled", "mc"], f"""SELECT text FROM {drawn('a', DRAWN)} s JOIN documents ON doc_id = s.id
+    "mixture_build": with_views(["labeled", "mc", "passages", "instructions"], f"""SELECT text FROM {drawn('a', DRAWN)} s JOIN documents ON doc_id = s.id
   UNION ALL SELECT text FROM {drawn('e', DRAWN_SMALL)} s JOIN documents ON doc_id = s.id
-  UNION ALL SELECT text FROM ({CAPPED}) UNION ALL SELECT {MC} FROM mc""", {
+  UNION ALL SELECT text FROM ({CAPPED}) UNION ALL SELECT {MC} FROM mc UNION ALL SELECT {SPANS} FROM passages
+  UNION ALL SELECT {DEFINED} FROM ({ranked('passages', 'doc_id')}) WHERE rn <= {SAMPLE}
+  UNION ALL SELECT {ANSWERED} FROM instructions WHERE trim(coalesce(input, '')) = ''
+  UNION ALL SELECT {PICKED} FROM passages UNION ALL SELECT {MC} FROM mc""", {
         "docs_f": "SELECT * FROM documents WHERE lang <> 'en'", "docs_e": "SELECT * FROM documents WHERE lang = 'en'",
         "labeled_f": "SELECT * FROM labeled WHERE lang <> 'en'", "labeled_e": "SELECT * FROM labeled WHERE lang = 'en'",
         **dsir("a", "docs_f", "labeled_f"), **dsir("e", "docs_e", "labeled_e"),
     }),
     "train_val_split": f"SELECT doc_id, CASE WHEN {o.b(f"'{SEED}|' || doc_id", 100)} < 1 THEN 'val' ELSE 'train' END AS split FROM documents",
     "fmt_multiple_choice_columns": with_views(["mc"], f"SELECT item_id, {MC} AS text FROM mc"),
-    "fmt_passage_spans": with_views(["passages"], f"SELECT doc_id, passage || {NL} || question || {NL} || array_to_string(spans, ', ') AS text FROM passages"),
-    "fmt_definition_io": with_views(["passages"], f"""SELECT doc_id, question || {NL} || passage || {NL} || array_to_string(spans, ' ') AS text
+    "fmt_passage_spans": with_views(["passages"], f"SELECT doc_id, {SPANS} AS text FROM passages"),
+    "fmt_definition_io": with_views(["passages"], f"""SELECT doc_id, {DEFINED} AS text
   FROM ({ranked('passages', 'doc_id')}) WHERE rn <= {SAMPLE}"""),
-    "fmt_question_answer": with_views(["instructions"], f"SELECT id, instruction || {NL} || output AS text FROM instructions WHERE trim(coalesce(input, '')) = ''"),
-    "fmt_option_pick": with_views(["passages"], f"SELECT doc_id, question || {NL} || spans[{o.b('doc_id::VARCHAR', 2)} + 1] AS text FROM passages"),
+    "fmt_question_answer": with_views(["instructions"], f"SELECT id, {ANSWERED} AS text FROM instructions WHERE trim(coalesce(input, '')) = ''"),
+    "fmt_option_pick": with_views(["passages"], f"SELECT doc_id, {PICKED} AS text FROM passages"),
     "fmt_choice_arrays": with_views(["mc"], f"SELECT item_id, {MC} AS text FROM mc"),
 }

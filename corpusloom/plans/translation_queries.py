@@ -23,6 +23,17 @@ def cache_apply_all_or_nothing(spark, d):
     return done.select("id", F.to_json("conversation").alias("conversation_ja"))
 
 
+def cache_apply_without_refusals(spark, d):
+    done = translation.translate_without_refusals(views.sys_turns(spark, d), views.cache(spark, d), views.verdicts_ja(spark, d))
+    return done.select("id", F.to_json("conversation").alias("conversation_ja"))
+
+
+def refusal_kept(spark, d):
+    """The conversations that the verdicts leave."""
+    checked = translation.check_refusals(views.turns(spark, d), views.verdicts(spark, d), ["id", "idx"])
+    return translation.drop_refused(views.turns(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("turns")), checked)
+
+
 def cache_apply_system_only(spark, d):
     turns = views.sys_turns(spark, d)
     fresh = turns.where(F.col("from") != "system").select("id", "idx", views.ja(F.col("value")).alias("fresh"))
@@ -95,7 +106,7 @@ def cost_estimate(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    repeated_system_prompts, cache_apply_all_or_nothing, cache_apply_system_only, request_plan, translation_gate,
+    repeated_system_prompts, cache_apply_all_or_nothing, cache_apply_without_refusals, refusal_kept, cache_apply_system_only, request_plan, translation_gate,
     boilerplate_gate, translator_fallback, refusal_filter, refusal_turns, verdict_parse, token_ratio_bands,
     ratio_histogram, untranslated_by_category, cost_estimate,
 )}
@@ -113,6 +124,10 @@ ORACLE = {
     "repeated_system_prompts": with_views(["sys_turns"], """SELECT value AS prompt, count(*) AS n FROM sys_turns WHERE "from" = 'system'
   GROUP BY value HAVING count(*) > 1"""),
     "cache_apply_all_or_nothing": with_views(["conv_ja"], "SELECT * FROM conv_ja"),
+    "cache_apply_without_refusals": with_views(["conv_ja", "turns_ja", "verdicts_ja"], f"""SELECT * FROM conv_ja WHERE id NOT IN
+  (SELECT t.id FROM turns_ja t JOIN verdicts_ja v ON {o.uuid5('t.value')} = v.id WHERE v.refusal AND NOT {o.blank('t.value')})"""),
+    "refusal_kept": with_views(["turns", "verdicts"], f"""SELECT id, count(*) AS turns FROM turns WHERE id NOT IN
+  (SELECT id FROM ({CHECKED}) WHERE verdict = 'refused') GROUP BY id"""),
     "cache_apply_system_only": with_views(["turns_ja"], f"""SELECT id, idx, "from",
   CASE WHEN "from" = 'system' THEN nullif(value, '') ELSE {o.ja('value_en')} END AS value FROM turns_ja"""),
     "request_plan": with_views(["cache"], f"""SELECT DISTINCT value AS text,

@@ -143,7 +143,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select(F.inline(rows))
 
 
-CODE_TAILS = [" {x}", " def f", " std::", "\n#include", " in range(", " ```"]
+CODE_TAILS = [" {x}", " def f", " std::", "\n#include", " in range(", " ```", "\u3000def f", "\u00a0def f", "\u3000in range"]
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +169,12 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def verdicts_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, refusal) for half of the cached translations, one in sixteen a refusal."""
+    k = bucket(tag("verdict", F.col("prompt_en")), 16)
+    return cache(spark, sf_dir).where(k < 8).select(uuid5(F.col("prompt_ja")).alias("id"), (k == 0).alias("refusal"))
+
+
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = bucket(F.col("value"), 4)
     reply = F.when(k == 0, "Yes.").when(k == 1, " no").when(k == 2, "")

@@ -15,7 +15,7 @@ KIND = "word_or_mark"
 HEAD = 50_000
 WORDS = 500
 TRAINED = 1000
-ROUNDS = 3
+ROUNDS = 40
 MAX_LEN = 256
 # Tokens with digits next to the new words.
 DIGIT_TOKENS = ["12", "3-4", "a1", "2024"]
@@ -54,6 +54,13 @@ def bpe_merge_rounds(spark, d):
     return vocab.merge_rounds(_docs(spark, d), ROUNDS)
 
 
+def bpe_encode_words(spark, d):
+    """The words of the documents, cut by the merges learned from them."""
+    docs = _docs(spark, d)
+    coded = vocab.encode_words(vocab.symbol_words(docs), vocab.merge_rounds(docs, ROUNDS))
+    return coded.select("token", F.array_join("symbols", " ").alias("symbols"))
+
+
 def vocab_budget(spark, d):
     sizes = vocab.vocab_sizes(_docs(spark, d))
     return sizes.select("tokenizer", vocab.vocab_budget(F.col("vocab_size")).alias("free"))
@@ -97,7 +104,7 @@ def sft_rejects(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     conv_token_count, corpus_token_total, tokenizer_efficiency, vocab_size, vocab_train_topk, bpe_pair_counts,
-    bpe_merge_rounds, vocab_budget, vocab_merge, vocab_merge_rules, sft_encode, sft_rejects,
+    bpe_merge_rounds, bpe_encode_words, vocab_budget, vocab_merge, vocab_merge_rules, sft_encode, sft_rejects,
 )}
 
 
@@ -123,16 +130,16 @@ def _sizes() -> str:
     )
 
 
-def _words(where: str = "") -> str:
-    return f"SELECT token, count(*) AS n FROM (SELECT unnest({o.tokens('text', KIND)}) AS token FROM documents{where}) GROUP BY token"
+def _words(where: str = "", kind: str = KIND) -> str:
+    return f"SELECT token, count(*) AS n FROM (SELECT unnest({o.tokens('text', kind)}) AS token FROM documents{where}) GROUP BY token"
 
 
 def _top(where: str = "") -> str:
     return f"""SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM
-  (SELECT * FROM ({_words(where)}) WHERE length(token) <= {fixed.MAX_TOKEN_CHARS} ORDER BY n DESC, token LIMIT {WORDS})"""
+  (SELECT * FROM ({_words(where, 'vocab_word')}) ORDER BY n DESC, token LIMIT {WORDS})"""
 
 
-SYMBOLS = f"""SELECT regexp_replace(token, '(?s)(.)', chr(2) || '\\1' || chr(3), 'g') AS symbols, n FROM ({_words()}) WHERE length(token) > 1"""
+SYMBOLS = f"""SELECT token, regexp_replace(token, '(?s)(.)', chr(2) || '\\1' || chr(3), 'g') AS symbols, n FROM ({_words()}) WHERE length(token) > 1"""
 
 
 def _pair_counts(source: str) -> str:
@@ -141,13 +148,14 @@ def _pair_counts(source: str) -> str:
   FROM (SELECT n, regexp_extract_all(symbols, chr(2) || '([^' || chr(3) || ']+)' || chr(3), 1) AS s FROM {source})) GROUP BY 1, 2"""
 
 
-def _rounds() -> str:
+def _rounds() -> dict[str, str]:
+    """b1, b2, ... are the merges; w1, w2, ... the words before each."""
     parts = {"w1": SYMBOLS}
     for i in range(1, ROUNDS + 1):
         parts[f"b{i}"] = f"""SELECT {i}::BIGINT AS round, * FROM ({_pair_counts(f'w{i}')}) ORDER BY n DESC, "left", "right" LIMIT 1"""
-        parts[f"w{i + 1}"] = f"""SELECT replace(symbols, (SELECT chr(2) || "left" || chr(3) || chr(2) || "right" || chr(3) FROM b{i}),
+        parts[f"w{i + 1}"] = f"""SELECT token, replace(symbols, (SELECT chr(2) || "left" || chr(3) || chr(2) || "right" || chr(3) FROM b{i}),
   (SELECT chr(2) || "left" || "right" || chr(3) FROM b{i})) AS symbols, n FROM w{i}"""
-    return with_views([], " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, ROUNDS + 1)), parts)
+    return parts
 
 
 def _is_digit(x: str) -> str:
@@ -168,7 +176,7 @@ MERGED = {
 def _sft() -> str:
     def block(head: str, body: str, kept: str) -> str:
         return f"""list_concat([{{'t': '<|im_start|>', 'k': true}}, {head}, {{'t': chr(10), 'k': false}}],
-  list_transform({o.tokens(body, KIND)}, lambda x: {{'t': x, 'k': {kept}}}), [{{'t': '<|im_end|>', 'k': true}}, {{'t': chr(10), 'k': true}}])"""
+  list_transform({o.tokens(body, 'vocab_word')}, lambda x: {{'t': x, 'k': {kept}}}), [{{'t': '<|im_end|>', 'k': true}}, {{'t': chr(10), 'k': true}}])"""
 
     return with_views(["sys_turns"], """SELECT id, string_agg(v::VARCHAR, ',' ORDER BY pos) AS input_ids,
   string_agg((CASE WHEN k THEN v ELSE -100 END)::VARCHAR, ',' ORDER BY pos) AS labels, count(*) FILTER (v <> 0) AS attended
@@ -195,7 +203,9 @@ ORACLE = {
   unnest(range(1, least({fixed.MAX_TOKEN_CHARS}, length(token) - a + 1) + 1)) AS z FROM
   (SELECT token, n, unnest(range(1, length(token) + 1)) AS a FROM ({_words()}))) GROUP BY 1 ORDER BY n DESC, 1 LIMIT {TRAINED}""",
     "bpe_pair_counts": f"WITH w AS ({SYMBOLS}) {_pair_counts('w')}",
-    "bpe_merge_rounds": _rounds(),
+    "bpe_merge_rounds": with_views([], " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, ROUNDS + 1)), _rounds()),
+    "bpe_encode_words": with_views([], f"""SELECT token, replace(substr(symbols, 2, length(symbols) - 2), chr(3) || chr(2), ' ') AS symbols
+  FROM w{ROUNDS + 1}""", _rounds()),
     "vocab_budget": f"SELECT tokenizer, {fixed.VOCAB_LIMIT} - vocab_size - {fixed.VOCAB_RESERVED} AS free FROM ({_sizes()})",
     "vocab_merge": with_views([], "SELECT * FROM merged", MERGED),
     "vocab_merge_rules": with_views([], f"""SELECT token, l || ' ' || r AS merge FROM (SELECT token, substr(token, 1, a) AS l, substr(token, a + 1) AS r
