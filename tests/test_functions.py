@@ -123,7 +123,7 @@ def test_plain_prompt(one, prompt, kept):
 
 @pytest.mark.parametrize("value, code", [
     ("x def f", True), ("def f", True), ("\ndef f", True), ("undef f", False), ("for i in range(3)", True),
-    ("in range(", False), ("a ``` b", True), ("{", True), ("std::", True), ("#include", True), ("plain", False),
+    ("in range(", False), ("例：\u3000def f(x):", True), ("a\u00a0def f", True), ("\u3000in range(", False), ("a ``` b", True), ("{", True), ("std::", True), ("#include", True), ("plain", False),
 ])
 def test_code_marks(one, value, code):
     assert one(filters.looks_like_code(F.col("x")), x=value) is code

@@ -54,6 +54,17 @@ def test_refusal_wins_over_other_verdicts(spark):
     assert got == {"a": "refused", "b": "refused", "c": "check"}
 
 
+def test_refused_translations_drop_their_conversation(spark):
+    from corpusloom.functions.text import uuid5
+    from pyspark.sql import functions as F
+
+    turns = spark.createDataFrame([("a", 0, "human", "x"), ("a", 1, "gpt", "y"), ("b", 0, "human", "x"), ("c", 0, "gpt", "z"), ("d", 0, "gpt", "none"), ("e", 0, "gpt", "w")], TURNS)
+    cache = spark.createDataFrame([("x", "X", "t"), ("y", "no", "t"), ("z", "maybe", "t"), ("w", "W", "t")], CACHE)
+    verdicts = spark.createDataFrame([("no", True), ("X", False), ("w", True), ("W", None)], "t string, refusal boolean").select(uuid5(F.col("t")).alias("id"), "refusal")
+    done = translation.translate_without_refusals(turns, cache, verdicts)
+    assert {r["id"] for r in done.collect()} == {"b", "c", "e"}
+
+
 def test_one_response_per_prompt(spark):
     stubs = spark.createDataFrame([("a", "s", "p")], "id string, system string, prompt string")
     responses = spark.createDataFrame([("p", "r2"), ("p", "r1")], "prompt string, response string")

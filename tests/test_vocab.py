@@ -66,6 +66,94 @@ def test_merge_rounds(docs):
     assert [tuple(r) for r in vocab.merge_rounds(docs, 6, keep_every=2).orderBy("round").collect()] == want
 
 
+def plain_merges(words, rounds):
+    """Greedy training, one pair at a time; also the words after it."""
+    symbols, out = {w: tuple(w) for w in words if len(w) > 1}, []
+    for number in range(1, rounds + 1):
+        pairs = Counter()
+        for w, s in symbols.items():
+            for p in zip(s, s[1:]):
+                pairs[p] += words[w]
+        if not pairs:
+            break
+        (left, right), n = min(pairs.items(), key=lambda p: (-p[1], p[0][0].encode(), p[0][1].encode()))
+        out.append((number, left, right, n))
+        symbols = {w: plain_apply(s, left, right) for w, s in symbols.items()}
+    return out, symbols
+
+
+def plain_apply(s, left, right):
+    out, i = [], 0
+    while i < len(s):
+        if s[i:i + 2] == (left, right):
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(s[i])
+            i += 1
+    return tuple(out)
+
+
+def test_runs_of_merges_equal_one_by_one():
+    """The runs that one job applies, against greedy training, on texts full of ties and overlaps."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        words = Counter("".join(rng.choices("abc" if rng.random() < 0.5 else "abcdefgh", k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 30)))
+        want, final = plain_merges(words, 40)
+        got, symbols = [], {w: tuple(w) for w in words if len(w) > 1}
+        while len(got) < 40:
+            pairs = Counter()
+            for w, s in symbols.items():
+                for p in zip(s, s[1:]):
+                    pairs[p] += words[w]
+            ranked = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda p: (-p[2], p[0].encode(), p[1].encode()))
+            seen = rng.choice([3, 10, 1000])
+            run = vocab.next_merges(ranked[:seen], len(ranked) < seen, 40 - len(got))
+            if not run:
+                break
+            for left, right, _ in run:
+                symbols = {w: plain_apply(s, left, right) for w, s in symbols.items()}
+            got += run
+        assert [(i, *m) for i, m in enumerate(got, 1)] == want and symbols == final
+
+
+def test_many_merges_and_encoding_equal_a_plain_trainer(spark):
+    import re
+
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(12).collect()] + TEXTS
+    words = Counter(w for t in texts for w in re.findall(r"\w+|[^\w\s]", t))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    merges = vocab.merge_rounds(docs, 250)
+    want, final = plain_merges(words, 250)
+    assert [tuple(r) for r in merges.orderBy("round").collect()] == want
+    coded = vocab.encode_words(vocab.symbol_words(docs), merges)
+    assert {r["token"]: tuple(r["symbols"]) for r in coded.collect()} == final
+    other = spark.createDataFrame([("日本",), ("lowest",), ("x",), ("lowlow",)], "token string")
+    got = {r["token"]: tuple(r["symbols"]) for r in vocab.encode_words(other, merges).collect()}
+    plain = {}
+    for w in got:
+        plain[w] = tuple(w)
+        for _, left, right, _ in want:
+            plain[w] = plain_apply(plain[w], left, right)
+    assert got == plain
+
+
+def test_unspaced_scripts_and_long_words_stay(spark):
+    text = "これは日本語の長い文章で、単語の間に空白がありません。Latin" + "x" * 60 + " 한국어 ไทย"
+    docs = spark.createDataFrame([(text,)], "text string")
+    found = {r["token"]: r["n"] for r in vocab.top_words(docs, 1000).collect()}
+    assert max(map(len, found)) == 24 and sum(len(t) * n for t, n in found.items()) == len(text.replace(" ", ""))
+    assert found["語"] == 2 and found["の"] == 2 and "한" in found and "ไ" in found
+    table = vocab.sft_vocab(docs, 1000)
+    talk = F.array(chat.turn("user", F.lit(text)), chat.turn("assistant", F.lit("長い日本")))
+    rows = vocab.sft_encode(spark.range(1).select(F.lit("c").alias("id"), talk.alias("conversation")), table, 256)[0].collect()
+    unknown = vocab.SPECIAL_TOKENS.index(vocab.UNKNOWN)
+    body = rows[0]["input_ids"]
+    assert body.count(unknown) == len(vocab.sft_tokens.__defaults__[0].replace(".", " .").split()) + 3  # the system text and the three roles alone
+
+
 def test_merge_rounds_of_repeated_characters(spark):
     df = spark.createDataFrame([("aaaaa",)], "text string")
     assert [tuple(r) for r in vocab.merge_rounds(df, 2).orderBy("round").collect()] == [(1, "a", "a", 4), (2, "aa", "a", 1)]
