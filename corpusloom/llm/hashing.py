@@ -6,7 +6,7 @@ import numpy as np
 
 _RNG = np.random.default_rng(20240229)
 _ODD = lambda n: _RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Random numbers for a byte, for a place in a word (taken modulo the table), and for a place in a run of words.
+#: Random numbers for a byte, for the first places in a word, and for a place in a run of words.
 BYTE, PLACE, RUN = _ODD(256), _ODD(4096), _ODD(64)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,6 +23,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def place_numbers(place: np.ndarray) -> np.ndarray:
+    """An odd number for each place in a word: from a table, and beyond it by mixing the place, so that none comes back."""
+    numbers = PLACE[np.minimum(place, len(PLACE) - 1)]
+    far = np.flatnonzero(place >= len(PLACE))
+    if len(far):
+        numbers[far] = mix(place[far].astype(np.uint64) * RUN[0] + RUN[1]) | np.uint64(1)
+    return numbers
+
+
 def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, start and end of the word in the joined texts, where each text's words begin in these arrays).
 
@@ -39,7 +48,7 @@ def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), start, end, first
     inside = np.flatnonzero(word)
     place = inside - np.repeat(start, end - start)
-    value = (FOLDED if fold else BYTE)[raw[inside]] * PLACE[place % len(PLACE)]
+    value = (FOLDED if fold else BYTE)[raw[inside]] * place_numbers(place)
     at = np.r_[0, np.cumsum(end - start)[:-1]]
     return mix(np.add.reduceat(value, at) + (end - start).astype(np.uint64)), start, end, first
 
