@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import shared_folder
@@ -64,10 +64,10 @@ def give_back() -> None:
 
 
 def per_text(docs: DataFrame, keys: list[str], text: str, fields: dict[str, str],
-             compute: Callable[[list[bytes]], dict]) -> DataFrame:
+             compute: Callable[[list[bytes]], dict], chunk: int = CHUNK_BYTES) -> DataFrame:
     """The key columns and, for each text, the ``fields`` (name to type) that ``compute`` gives for lists of texts.
 
-    Texts reach it as UTF-8, null as empty, in chunks of CHUNK_BYTES, so a task holds one chunk (or one long text).
+    Texts reach it as UTF-8, null as empty, in chunks of ``chunk`` bytes, so a task holds one chunk (or one long text).
     Columns of ``docs`` other than the keys and the text stay behind.
     """
     source = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
@@ -81,7 +81,7 @@ def per_text(docs: DataFrame, keys: list[str], text: str, fields: dict[str, str]
             start, size = 0, 0
             for i, n in enumerate(sizes):
                 size += n
-                if size >= CHUNK_BYTES or i + 1 == len(sizes):
+                if size >= chunk or i + 1 == len(sizes):
                     made = compute(texts.slice(start, i + 1 - start).to_pylist())
                     own = [batch.column(k).slice(start, i + 1 - start) for k in range(len(keys))]
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[f], ARROW[t]) for f, t in fields.items())], schema=schema)
@@ -99,7 +99,21 @@ def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def text_hash(text: str) -> Column:
+    """A number that tells texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def without(docs: DataFrame, ids: DataFrame, id: str = "doc_id") -> DataFrame:
     """Rows whose id is not listed; a null id is never listed. Texts are shuffled only where the list is long."""
     listed = small_side(settle(ids.where(F.col(id).isNotNull()).select(id).distinct()))
     return docs.join(listed, id, "left_anti").select(*docs.columns)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, own: Column, id: str = "doc_id") -> DataFrame:
+    """Rows of which (id, ``own`` value) is not listed in ``rows`` (id, value); a null id is one like others."""
+    lead = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any column's name
+    listed = rows.select(F.col(rows.columns[0]).alias(lead + "id"), F.col(rows.columns[1]).alias(lead + "value")).distinct()
+    marked = docs.withColumn(lead + "own", own)
+    same = marked[id].eqNullSafe(F.col(lead + "id")) & (marked[lead + "own"] == F.col(lead + "value"))
+    return marked.join(small_side(settle(listed)), same, "left_anti").select(*docs.columns)
