@@ -7,7 +7,12 @@ shared tokens, two must share a class. The number of classes grows with a set's
 in the order of n signatures. Sets too small to be extended use single tokens. Sizes that may meet partners of the tier
 below carry the signatures of both tiers.
 
-Equal sets are joined first and go on as one. In a bucket of sets with one signature, all are compared to a pivot, and
+Equal sets are joined first and go on as one. Then sets without any partner are left out, by a longer prefix: of a set's
+first q tokens by hash, all but the ``prefix - 1`` that it may lack are in any partner, among that one's first
+tokens too. So a set of whose first q tokens too few are met in a second set has no link. What is left are copies, edited texts and
+texts of shared passages, and only their sets are indexed; their number grows with the corpus, not with its square.
+
+In a bucket of sets with one signature, all are compared to a pivot, and
 linked sets are joined; only buckets whose sets are then still apart are compared further, first by more pivots, last pair
 by pair. A link within one component cannot change a component, hence is not looked for. Every pair is first bounded by the
 smallest hashes of both sets, then verified on the whole sets.
@@ -15,6 +20,7 @@ smallest hashes of both sets, then verified on the whole sets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import per_text, settle, small_side
+from corpusloom.llm.common import map_arrow, per_text, settle, small_side, without
 from corpusloom.llm.graph import components
 from corpusloom.llm.hashing import mix, shingle_sets
 
@@ -40,6 +46,7 @@ class Rule:
     classes: int = 64
     pivot_rounds: int = 4
     broadcast_ids: int = 200_000
+    probe: int = 60  # tokens beyond the prefix that are looked up to leave sets out, in percent of the prefix
 
 
 def prefix_size(n, percent: int):
@@ -47,6 +54,21 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def probe_size(n: int, rule: Rule) -> int:
+    """Tokens, by hash, that a set of n looks up: its prefix and ``probe`` percent more."""
+    p = prefix_size(n, rule.percent)
+    return min(n, p + -(-p * rule.probe // 100))
+
+
+def reach_size(n: int, rule: Rule) -> int:
+    """Tokens, by hash, among which a set of n holds whatever it shares with the probe of any partner.
+
+    A partner has at most n * 100 / percent tokens. A token of its probe is here after at most the shared part of that probe and the
+    ``prefix - 1`` tokens that this set has and the partner lacks.
+    """
+    return min(n, probe_size(100 * n // rule.percent, rule) + prefix_size(n, rule.percent) - 1)
+
+
 def _tiers(n: int, rule: Rule) -> list[int]:
     """The tier of a set of n tokens and, if a smaller partner can be in the tier below, that one; -1 is single tokens."""
     tier = -1
@@ -90,20 +112,51 @@ def signatures(rare: np.ndarray, frequent: np.ndarray, n: int, rule: Rule) -> np
     return np.unique(np.concatenate(out))
 
 
-def _set_rows(docs: DataFrame, rule: Rule, keys: list[str]) -> DataFrame:
-    """Size, identity and smallest hashes of each text's set: a quarter more than the prefix, and two."""
+def _set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Size and identity of each text's set."""
     def work(texts: list[bytes]) -> dict:
         sets = shingle_sets(texts, rule.k)
         wrap = lambda a: int(np.asarray(a, np.uint64).sum(dtype=np.uint64).view(np.int64))
-        need = [prefix_size(len(s), rule.percent) for s in sets]
         return {
             "n": [len(s) for s in sets],
             "sum_a": [wrap(mix(s.view(np.uint64))) for s in sets],
             "sum_b": [wrap(mix(s.view(np.uint64) + np.uint64(77)) * np.uint64(5)) for s in sets],
-            "head": [s[: p + p // 4 + 2] for s, p in zip(sets, need, strict=True)],
         }
 
-    return per_text(docs, keys, "text", {"n": "long", "sum_a": "long", "sum_b": "long", "head": "array<long>"}, work)
+    return per_text(docs, ["row"], "text", {"n": "long", "sum_a": "long", "sum_b": "long"}, work)
+
+
+def _first_tokens(docs: DataFrame, rule: Rule, size: Callable[[int, Rule], int]) -> DataFrame:
+    """(row, n, head): the size and the smallest hashes of each text's set."""
+    def work(texts: list[bytes]) -> dict:
+        sets = shingle_sets(texts, rule.k)
+        return {"n": [len(s) for s in sets], "head": [s[: size(len(s), rule)] for s in sets]}
+
+    return per_text(docs, ["row"], "text", {"n": "long", "head": "array<long>"}, work)
+
+
+def _need(rule: Rule) -> Column:
+    return F.expr(f"n - (({rule.percent} * n + 99) div 100) + 1")
+
+
+def with_partners(docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(row): the sets that may have a link; ``sizes`` has their (row, n).
+
+    Only hashes are shuffled: once to find those met twice, which are summed in each task first, and once with their rows.
+    """
+    reach = _first_tokens(docs, rule, reach_size).select(F.explode("head").alias("token"))
+    met = settle(reach.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token"))
+    probes = _first_tokens(docs, rule, probe_size).select("row", F.explode("head").alias("token"))
+    found = probes.join(met, "token").groupBy("row").agg(F.count(F.lit(1)).alias("found"))
+    beyond = F.ceil(_need(rule) * rule.probe / 100)  # probe tokens beyond the prefix, but for what the set has not
+    enough = F.least(F.col("n") - _need(rule), beyond) + 1
+    return settle(found.join(sizes, "row").where(F.col("found") >= enough).select("row").distinct())
+
+
+def head_size(n: int, rule: Rule) -> int:
+    """Smallest hashes that are kept of a set: a quarter more than the prefix, and two."""
+    p = prefix_size(n, rule.percent)
+    return p + p // 4 + 2
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
@@ -131,7 +184,7 @@ def _often(sets: DataFrame, tokens: str, frequent: DataFrame, few: bool) -> Data
             often = pa.ListArray.from_arrays(pa.array(upto[offsets].astype(np.int32)), pa.array(flat[hit]))
             yield pa.RecordBatch.from_arrays([*batch.columns, often], names=[*batch.schema.names, "often"])
 
-    return sets.mapInArrow(work, f"{columns}, often array<bigint>")
+    return map_arrow(sets, work, f"{columns}, often array<bigint>")
 
 
 def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -139,7 +192,7 @@ def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     tokens = sets.select("row", F.explode("head").alias("token"))
     frequent = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > rule.frequent).select("token"))
     few = frequent.count() <= rule.broadcast_ids  # 8 bytes each
-    need = F.expr(f"n - (({rule.percent} * n + 99) div 100) + 1")
+    need = _need(rule)
     parted = _often(sets.select("row", "n", "head"), "head", frequent, few)
     parted = parted.select("row", "n", F.when(F.size("often") == 0, F.col("head")).otherwise(F.array_except("head", "often")).alias("rare"))
     plain = parted.where(F.size("rare") >= need).select("row", "n", F.explode(F.slice("rare", F.lit(1), need.cast("int"))).alias("sig"))
@@ -147,14 +200,22 @@ def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     whole = settle(_whole_sets(docs, settle(parted.where(F.size("rare") < need).select("row")), rule))
     again = _often(whole.select("row", "tokens"), "tokens", frequent, few)
 
+    row_type = dict(docs.dtypes)["row"]
+
     def work(batches):
         for batch in batches:
-            for row, tokens, often in zip(*(batch.column(c).to_pylist() for c in ("row", "tokens", "often")), strict=True):
+            rows, at, sizes, found = batch.column(0), [], [], []
+            for i, (tokens, often) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 tokens, often = np.array(tokens, np.int64), np.sort(np.array(often, np.int64))
                 sig = signatures(np.setdiff1d(tokens, often, assume_unique=True), often, len(tokens), rule)
-                yield pa.RecordBatch.from_pydict({"row": np.full(len(sig), row), "n": np.full(len(sig), len(tokens)), "sig": sig})
+                at.append(np.full(len(sig), i))
+                sizes.append(np.full(len(sig), len(tokens)))
+                found.append(sig)
+            if at:
+                own = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([rows.take(own), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found))], names=["row", "n", "sig"])
 
-    return plain.unionByName(settle(again.mapInArrow(work, "row long, n long, sig long")))
+    return plain.unionByName(settle(map_arrow(again.select("row", "tokens", "often"), work, f"row {row_type}, n long, sig long")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -237,17 +298,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rul
     """``(doc_id, n_shingles, component_id, class_id)``, a row per input row.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id that links reach. Texts without
-    words, null ones included, have no set and stay alone; so do rows with a null id, which has no order. Ids should be unique;
+    words, null ones included, have no set and stay alone; so do rows with a null id, which has no order. Ids may be of any type
+    with an order (numbers, texts) and should be unique;
     rows with the same id count as one text each and share what either reaches. An empty table gives no rows.
     """
     source = docs.select(F.col(id).alias("row"), F.col(text).alias("text"))
-    rows = settle(_set_rows(source, rule, ["row"]))
+    rows = settle(_set_rows(source, rule))
     same = ["n", "sum_a", "sum_b"]
     named = rows.where("n > 0 and row is not null")
     classes = settle(named.groupBy(*same).agg(F.min("row").alias("class")))
-    copies = named.select("row", *same).join(classes, same).where(F.col("row") != F.col("class")).select("row")
-    sets = named.join(small_side(settle(copies)), "row", "left_anti").select("row", "n", "head")
-    _, labels = link_sets(source.where("row is not null"), sets, rule)
+    copies = named.join(classes, same).where(F.col("row") != F.col("class")).select("row")
+    leaders = without(source.where("row is not null"), copies, "row")
+    kept = with_partners(leaders, named.select("row", "n"), rule)
+    some = leaders.join(small_side(kept), "row", "left_semi")
+    sets = settle(_first_tokens(some, rule, head_size).where("n > 0"))
+    _, labels = link_sets(some, sets, rule)
     member = settle(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select(*same, "class", F.coalesce("component", "class").alias("component")))
     narrow = rows.select("row", *same)
     alone = F.expr("n = 0 or row is null")

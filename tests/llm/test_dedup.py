@@ -86,6 +86,36 @@ def test_near_equals_all_pairs(spark, rule):
     assert got == plain_near(rows)
 
 
+def test_long_words_and_text_ids(spark):
+    """Words beyond every table of the hash, told apart though bytes far from each other are exchanged; ids that are texts."""
+    rng = random.Random(11)
+    long = bytearray(rng.choices(b"abcdefghij", k=20_000))
+    rows = [("a0", long.decode())]
+    for i, (p, q) in enumerate([(0, 4096), (17, 17 + 8192), (4095, 4096), (9000, 9001), (100, 19_999)]):
+        other = bytearray(long)
+        other[p], other[q] = other[q], other[p]
+        rows.append((f"b{i}", other.decode() if other != long else other.decode() + "x"))
+    rows += [("c1", "one two three four five"), ("c0", "ONE two  three four five"), ("d", None), (None, "one two three four five")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id string, text string, token int, sig int")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {i: i for i, _ in rows} | {"c1": "c0"}
+
+
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(probe=0), jaccard_join.Rule(k=1, percent=60, small=30, classes=8)])
+def test_no_set_with_a_link_is_left_out(spark, rule):
+    """At the edge of the similarity, where a set just has enough in common with one other."""
+    rng = random.Random(rule.probe + rule.k)
+    rows = []
+    for n in [1, 2, 3, 5, 6, 7, 8, 13, 20, 29, 57, 101]:
+        base = [f"w{n}x{i}" for i in range(n + rule.k - 1)]
+        at = rng.randrange(len(base) + 1)
+        for lost in range(0, n // 4 + 1):
+            rows.append((len(rows), " ".join(base[:at] + [f"new{len(rows)}x{i}" for i in range(lost)] + base[at:])))
+            rows.append((len(rows), " ".join(base[: max(1, len(base) - lost)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(spark, rows), rule=rule).collect()}
+    assert got == plain_near(rows, rule.k, rule.percent)
+
+
 def test_near_empty_and_repeated(spark):
     assert jaccard_join.near_duplicates(frame(spark, [])).count() == 0
     got = jaccard_join.near_duplicates(frame(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")])).collect()
