@@ -12,8 +12,8 @@ first q tokens by hash, all but the ``prefix - 1`` that it may lack are in any p
 tokens too. So a set of whose first q tokens too few are met in a second set has no link. What is left are copies, edited texts and
 texts of shared passages, and only their sets are indexed; their number grows with the corpus, not with its square.
 
-In a bucket of sets with one signature, all are compared to a pivot, and
-linked sets are joined; only buckets whose sets are then still apart are compared further, first by more pivots, last pair
+In a bucket of sets with one signature, all are compared to a pivot (in the first rounds each
+set to one pivot only, the first of all its buckets), and linked sets are joined; only buckets whose sets are then still apart are compared further, first by more pivots, last pair
 by pair. A link within one component cannot change a component, hence is not looked for. Every pair is first bounded by the
 smallest hashes of both sets, then verified on the whole sets.
 """
@@ -44,7 +44,8 @@ class Rule:
     frequent: int = 8
     small: int = 80
     classes: int = 64
-    pivot_rounds: int = 4
+    single_rounds: int = 2
+    pivot_rounds: int = 5
     broadcast_ids: int = 200_000
     probe: int = 60  # tokens beyond the prefix that are looked up to leave sets out, in percent of the prefix
 
@@ -284,6 +285,8 @@ def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame,
             pairs = open_buckets.join(pivots, "sig").where((F.col("row") != F.col("p.row")) & _fits(F.col("n"), F.col("p.n"), rule))
             if labels is not None:
                 pairs = pairs.where(F.col("component") != F.col("far"))
+            if turn < rule.single_rounds:  # the first pivot of all of a row's buckets: one pair a row joins most of a large group
+                pairs = pairs.groupBy("row").agg(F.min("p").alias("p"))
             pairs = pairs.select(F.least("row", "p.row").alias("a"), F.greatest("row", "p.row").alias("b"))
         found = _possible(settle(pairs.select("a", "b").distinct()), sets, rule)
         found = settle(_verified(docs, settle(found), rule))
