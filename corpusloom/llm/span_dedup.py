@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import per_text, settle
+from corpusloom.llm.common import map_arrow, per_text, settle
 from corpusloom.llm.hashing import mix, word_hashes
 
 STOPS = np.zeros(256, bool)
@@ -104,18 +104,29 @@ def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
     """(id, body, removed): the first sentences of the spans of each text that have an earlier place.
 
     ``docs`` has (id, body, text). First is the smallest (id, body, place); a null id comes first. Only hashes are shuffled
-    to find the repeated ones; lengths are found again from the text.
+    to find the repeated ones; they are made twice, which costs less than to keep them all.
     """
-    runs = settle(per_text(docs, ["id", "body"], "text", {"hashes": "array<long>"}, lambda t: run_of_spans(t, rule)))
+    runs = per_text(docs, ["id", "body"], "text", {"hashes": "array<long>"}, lambda t: run_of_spans(t, rule))
     spans = runs.select("id", "body", F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
     place = F.struct("id", "body", "pos")
-    repeated = settle(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"))
+    times = runs.select(F.explode("hashes").alias("hash")).where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
+    repeated = settle(times.where("times > 1").select("hash"))
     places = settle(spans.join(repeated, "hash"))
     first = settle(places.groupBy("hash").agg(F.min(place).alias("first")))
     later = places.join(first, "hash").where(place != F.col("first"))
     return later.groupBy("id", "body").agg(F.collect_set("pos").alias("removed"))
 
 
+#: Bytes of the list of texts that lose sentences, with 32 for each text and 4 for each sentence, that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def few_spans(found: DataFrame) -> DataFrame:
+    """A settled list, marked for broadcast if it is measured to be short; else the texts are shuffled to it."""
+    size = found.agg(F.sum(4 * F.size("removed") + 32)).first()[0] or 0
+    return F.broadcast(found) if size <= BROADCAST_BYTES else found
+
+
 def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Spans = Spans()) -> DataFrame:
     """``(doc_id, text, n_sentences, n_removed, removed_chars)``, a row per input row.
 
@@ -123,7 +134,7 @@ def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text",
     text and come out alike; ``body``, a hash of the text, tells apart rows that share an id only.
     """
     source = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = settle(repeated_sentences(source, rule))
+    found = few_spans(settle(repeated_sentences(source, rule)))
     same = source["id"].eqNullSafe(found["id"]) & (source["body"] == found["body"])
     joined = source.join(found, same, "left").select(source["id"].alias("doc_id"), source["text"].cast("binary").alias("text"), "removed")
     id_type = joined.schema["doc_id"].dataType.simpleString()
@@ -138,4 +149,4 @@ def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text",
                  pa.array([chars(t) - chars(c) if len(t) != len(c) else 0 for t, c in zip(texts, clean, strict=True)], pa.int64())],
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed_chars"])
 
-    return joined.mapInArrow(work, f"doc_id {id_type}, text string, n_sentences long, n_removed long, removed_chars long")
+    return map_arrow(joined, work, f"doc_id {id_type}, text string, n_sentences long, n_removed long, removed_chars long")
