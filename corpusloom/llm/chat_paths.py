@@ -36,7 +36,7 @@ def _plain(c: str) -> Column:
 def leaf_paths(messages: DataFrame) -> DataFrame:
     """``(tree, leaf, node, up)`` for every message on the path of every leaf; ``up`` counts replies above the leaf.
 
-    ``messages`` has (tree, node, parent), node unique in its tree. A parent that is null or not in the tree makes a root.
+    ``messages`` has (tree, node, parent), tree and node not null, node unique in its tree. A parent that is null or not in the tree makes a root.
     Replies in a circle have neither root nor leaf, hence no path.
     """
     nodes = messages.select("tree", "node")
@@ -79,8 +79,10 @@ def format_paths(messages: DataFrame, best: int = 1, trained_role: str = "assist
 
     ``messages`` has (tree, node, parent, score, role, text), node unique in its tree; null role or text is empty. ``mask``
     holds (start, length) in characters of ``formatted``, counted from 0, of each escaped text of the trained role.
-    A path is one record; texts are joined only to the chosen ones.
+    A path is one record; texts are joined only to the chosen ones. A null tree is a tree like others; a null node is no message.
     """
+    # inside a struct, a null tree equals itself in joins
+    messages = messages.where(F.col("node").isNotNull()).withColumn("tree", F.struct(F.col("tree").alias("of")))
     paths = leaf_paths(messages)
     chosen = rank_paths(messages, paths).where(F.col("place") <= best)
     texts = messages.select("tree", "node", escape(_plain("role")).alias("role"), escape(_plain("text")).alias("text"))
@@ -97,7 +99,7 @@ def format_paths(messages: DataFrame, best: int = 1, trained_role: str = "assist
                         F.when(t["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     return record.select(
-        "tree", "leaf", "place",
+        F.col("tree.of").alias("tree"), "leaf", "place",
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
         F.aggregate("turns", start, step, lambda a: a["spans"]).alias("mask"),
     )
@@ -115,7 +117,10 @@ def read_back(formatted: Column) -> Column:
 
 
 def chain_messages(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows by turn as messages: each answers the one before. Rows of one turn follow by role, then text; none is lost."""
+    """Rows by turn as messages: each answers the one before. Rows of one turn follow by role, then text; none is lost.
+
+    All rows with a null conversation id are one conversation with that id. An empty table gives no messages.
+    """
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = turns.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     node = F.row_number().over(order)

@@ -3,7 +3,8 @@
 The text is normalised here, by the longest prefix that the model's compiled character map holds at each place, and every
 byte of the result remembers the span of the text it came from. The library gives the ids; the pieces are then laid along
 the normalised text, which projects each to a span of bytes of the original. Where the pieces do not spell this
-normalisation exactly, an error says so.
+normalisation exactly, the spans are null. Bytes that are no UTF-8 are replaced once, before all else: ids and spans are
+those of the replaced text.
 """
 
 from __future__ import annotations
@@ -161,8 +162,11 @@ class PieceCoder:
             return [(ids, ",".join(map(str, ids))) for ids in self.library.encode(texts, num_threads=1)]
         return [([i for w in ws for i in w[0]], ",".join([w[1] for w in ws])) for ws in self._words(texts)]
 
-    def spans(self, text: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end, in bytes of the text, of what each piece stands for."""
+    def spans(self, text: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Start and end, in bytes of the text, of what each piece stands for; None where the pieces do not spell the normalised text.
+
+        ``text`` is what was encoded, as valid UTF-8.
+        """
         norm, start, end = self.normalise(text)
         if self.unknown.isdisjoint(ids):
             sizes = self.sizes[ids] if ids else np.zeros(0, np.int64)
@@ -171,7 +175,7 @@ class PieceCoder:
             sizes = np.array([1 if self.model.pieces[i].type == BYTE_TYPE else len(p.encode()) for i, p in zip(ids, pieces, strict=True)], np.int64)
         after = np.cumsum(sizes)
         if (after[-1] if len(after) else 0) != len(norm):
-            raise ValueError(f"pieces spell {after[-1] if len(after) else 0} bytes, the normalised text has {len(norm)}")
+            return None
         return start[after - sizes], end[after - 1]
 
 
@@ -181,11 +185,15 @@ def coder(path: str) -> PieceCoder:
 
 
 def encode_documents(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, ids, starts, ends)``: each piece's id and the bytes of the text it stands for."""
+    """``(doc_id, ids, starts, ends)``: each piece's id and the bytes of the text it stands for.
+
+    A null text is empty and has no ids. Malformed bytes count as U+FFFD, three bytes each in the spans.
+    """
     def work(texts: list[bytes]) -> dict:
         c = coder(path)
-        ids = c.ids([t.decode("utf-8", "replace") for t in texts])
-        spans = [c.spans(t, i) for t, i in zip(texts, ids, strict=True)]
+        valid = [t.decode("utf-8", "replace") for t in texts]
+        ids = c.ids(valid)
+        spans = [c.spans(t.encode(), i) or (None, None) for t, i in zip(valid, ids, strict=True)]
         return {"ids": ids, "starts": [s for s, _ in spans], "ends": [e for _, e in spans]}
 
     return per_text(docs, [id], text, dict.fromkeys(("ids", "starts", "ends"), "array<long>"), work).withColumnRenamed(id, "doc_id")
@@ -194,15 +202,21 @@ def encode_documents(docs: DataFrame, path: str, id: str = "doc_id", text: str =
 def round_trip_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, spanned_bytes)`` per row; the ids and texts stay in the task.
 
-    ``spanned_bytes`` counts the bytes of the text that lie in the span of a piece. A null text is empty and has no ids.
+    ``spanned_bytes`` counts the bytes of the text that lie in the span of a piece, null without spans. A null text is empty and
+    has no ids. Malformed bytes count as U+FFFD.
     """
     def work(texts: list[bytes]) -> dict:
         c = coder(path)
-        coded = c.encode([t.decode("utf-8", "replace") for t in texts])
+        valid = [t.decode("utf-8", "replace") for t in texts]
+        coded = c.encode(valid)
         decoded = c.library.decode([ids for ids, _ in coded], num_threads=1)
         spanned = []
-        for t, (ids, _) in zip(texts, coded, strict=True):
-            start, end = c.spans(t, ids)
+        for t, (ids, _) in zip(valid, coded, strict=True):
+            found = c.spans(t.encode(), ids)
+            if found is None:
+                spanned.append(None)
+                continue
+            start, end = found
             # spans come in order and may meet in one character, whose bytes count once
             before = np.r_[0, np.maximum.accumulate(end)[:-1]] if len(end) else end
             spanned.append(int(np.maximum(end - np.maximum(start, before), 0).sum()))

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import settle, small_side
+from corpusloom.llm.common import map_arrow, settle, small_side
 
 NAMES = r"(?:tokens?|secrets?|passw(?:or)?d|passphrase|pwd|api[_\- ]?keys?|access[_\- ]?keys?|auth(?:orization)?|bearer|credentials?|private[_\- ]?key|client[_\- ]?secret)"
 #: No value has an upper bound of length. Runs are possessive and start at their first character only, so time is linear in the text.
@@ -232,7 +232,7 @@ def find_candidates(docs: DataFrame, id: str, text: str, path: str) -> DataFrame
                 [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))],
                 names=["doc_id", "body", "start", "length", "kind", "secret_sha256", "x"])
 
-    return source.mapInArrow(work, f"doc_id {id_type}, body long, start long, length long, kind string, secret_sha256 string, x array<double>")
+    return map_arrow(source, work, f"doc_id {id_type}, body long, start long, length long, kind string, secret_sha256 string, x array<double>")
 
 
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = "source", least: float = 0.5,
@@ -250,12 +250,14 @@ def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", path:
 
 
 def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """The rows with each secret replaced by ``mark``; other columns and rows stay as they are."""
-    spans = settle(scan_secrets(docs, id, text, path).groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans")))
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumn("__own", own).join(small_side(spans, 50_000), F.col(id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left")
+    """The rows with each secret replaced by ``mark``; other columns and rows stay as they are, whatever their names."""
+    lead = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any column's name
+    of, body, own, found = (lead + x for x in ("id", "body", "own", "spans"))
+    spans = settle(scan_secrets(docs, id, text, path).groupBy(F.col("doc_id").alias(of), F.col("body").alias(body)).agg(
+        F.array_sort(F.collect_set(F.struct("start", "length"))).alias(found)))
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = marked.join(small_side(spans, 50_000), F.col(id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(body)), "left")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))
-    clean = F.aggregate("__spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(found, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return joined.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)

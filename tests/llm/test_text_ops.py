@@ -100,6 +100,14 @@ def test_long_and_odd_conversations(spark):
     assert got[2].turns_sha256 == hashlib.sha256(b"user\nfirst\n\n\nassistant\nb\n").hexdigest() and got[2].loss_chars == 1
 
 
+def test_null_conversation_ids_are_one_conversation(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, 0, "user", "p"), (1, 1, "assistant", "b"), (None, 2, None, None)],
+                                  "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_paths.conversation_digests(chat_paths.format_paths(chat_paths.settle(chat_paths.chain_messages(turns)))).collect()}
+    assert got == {None: (3, 1), 1: (2, 1)}
+    assert chat_paths.format_paths(chat_paths.settle(chat_paths.chain_messages(turns.limit(0)))).count() == 0
+
+
 def brute_repeats(words):
     n, out = len(words), []
     for i in range(n):
@@ -169,6 +177,19 @@ def test_space_symbol_in_texts_gives_the_librarys_ids():
         assert len(start) == len(ids) and end[-1] == len(text.encode())
 
 
+def test_malformed_text_is_encoded_as_replaced(spark):
+    """Bytes that are no UTF-8, as a cast from binary gives them, count as U+FFFD."""
+    path = queries.vocabulary("piece_bpe_32k.model")
+    raw = [b"ab\xff cd", b"\xe3\x81", b"good \xf0\x9f text \x80\x80"]
+    docs = spark.createDataFrame(list(enumerate(map(bytearray, raw))), "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    library = pieces.coder(path).library
+    for r in pieces.encode_documents(docs, path).collect():
+        text = raw[r.doc_id].decode("utf-8", "replace")
+        assert r.ids == library.encode(text) and (r.starts[0], r.ends[-1]) == (0, len(text.encode()))
+    got = {r.doc_id: (r.n_tokens, r.spanned_bytes) for r in pieces.round_trip_digests(docs, path).collect()}
+    assert got == {i: (len(library.encode(t.decode("utf-8", "replace"))), len(t.decode("utf-8", "replace").encode())) for i, t in enumerate(raw)}
+
+
 def double_array(entries: dict[bytes, bytes]) -> bytes:
     """A character map in the compiled layout, made by placing the nodes of a trie one after the other."""
     texts, at = b"", {}
@@ -213,12 +234,68 @@ def test_character_map_takes_the_longest_prefix():
         assert start[0] == 0 and end[-1] == len("ﬁne".encode())
 
 
+MIT_LAYOUT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def plain_licenses(rows):
+    """All runs of pieces against all templates."""
+    known = {n: set(licenses.template_bigrams(t)) for n, t in licenses.TEMPLATES.items()}
+    most = max(licenses.size_bounds(len(g))[1] for g in known.values()) + 1
+    found = {}
+    for i, t in rows:
+        cut = [re.findall("[a-z0-9]+", p.lower()) for p in re.sub(r"([.!?])[ \t]+", r"\1\n", t or "").split("\n")]
+        cut = [w for w in cut if w]
+        for a in range(len(cut)):
+            words = []
+            for piece in cut[a:]:
+                words = words + piece
+                if len(words) > most:
+                    break
+                g = {f"{x} {y}" for x, y in zip(words, words[1:], strict=False)}
+                for name, k in known.items():
+                    dice = 2 * len(g & k) / (len(g) + len(k)) if g else 0
+                    if 5 * 2 * len(g & k) >= 4 * (len(g) + len(k)) and g & k:
+                        n, best = found.get((i, name), (0, 0))
+                        found[i, name] = n + 1, max(best, dice)
+    return found
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT-text"]
-    rows = [*ODD, (20, "prose here\nReleased under the MIT License.\nmore"), (21, "x\n\n" + mit.replace(". ", ".\n") + "\n\ny z"), (22, mit.replace("charge", "cost")), (23, "the license of the software is not given")]
-    got = {(r.doc_id, r.license): r.dice for r in licenses.scan_licenses(frame(spark, rows)).collect()}
-    assert set(got) == {(20, "MIT"), (21, "MIT-text"), (22, "MIT-text")} and got[(20, "MIT")] == got[(21, "MIT-text")] == 1.0 > got[(22, "MIT-text")] > 0.9
+    prose = " ".join(f"other{i} words of a readme" for i in range(50))
+    rows = [*ODD, (20, "prose here\nReleased under the MIT License.\nmore"), (21, "x\n\n" + mit.replace(". ", ".\n") + "\n\ny z"), (22, mit.replace("charge", "cost")), (23, "the license of the software is not given"),
+            (24, f"# A heading\n\n{prose}\n\n{MIT_LAYOUT}\n{prose}"), (25, f"{prose}. Released under the MIT License. {prose}."), (26, "// " + MIT_LAYOUT.replace("\n", "\n// ")),
+            (27, f"{prose}\n" + licenses.TEMPLATES["Apache-2.0-notice"].replace(", ", ",\n * ").replace(". ", ".\n *\n * ") + f"\n{prose}"),
+            (28, licenses.TEMPLATES["BSD-2-Clause-text"] + "\n" + licenses.TEMPLATES["ISC-text"]), (29, "license. " * 300), (None, MIT_LAYOUT), (24, MIT_LAYOUT)]
+    got = {(r.doc_id, r.license): (r.n_parts, r.dice) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == plain_licenses(rows)
+    assert set(got) == {(20, "MIT"), (21, "MIT-text"), (22, "MIT-text"), (24, "MIT-text"), (25, "MIT"), (26, "MIT-text"), (27, "Apache-2.0-notice"),
+                        (28, "BSD-2-Clause-text"), (28, "ISC-text"), (None, "MIT-text")}
+    assert got[(20, "MIT")][1] == got[(21, "MIT-text")][1] == 1.0 > got[(22, "MIT-text")][1] > 0.9
     assert licenses.scan_licenses(frame(spark, [])).count() == 0 and licenses.scan_licenses(frame(spark, ODD), templates={"one": "word"}).count() == 0
+    named = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    assert licenses.scan_licenses(named, templates={}).dtypes[0] == licenses.scan_licenses(named).dtypes[0] == ("doc_id", "string")
 
 
 def test_anchors_hold_for_every_match():
@@ -263,6 +340,37 @@ def test_whole_secrets_are_found_and_redacted(spark):
         assert clean[i] == text.replace(value, "[SECRET]"), i
 
 
+def test_redaction_with_clashing_names(spark):
+    secret = hashlib.sha1(b"y").hexdigest()
+    schema = "doc_id long, text string, source string, __id string, __own long, __spans int, body string, start int, x double, features string"
+    docs = spark.createDataFrame([(1, f'token = "{secret}"', None, "a", 2, 3, "b", 4, 0.5, "f"), (None, None, "s", None, None, None, None, None, None, None)], schema)
+    got = secret_scan.redact(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {(1, 'token = "[SECRET]"', None, "a", 2, 3, "b", 4, 0.5, "f"), (None, None, "s", *[None] * 7)}
+
+
+def test_candidates_against_a_plain_scan():
+    """Planted values of known make: every one is covered by a candidate, and candidates neither overlap nor touch plain prose."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = "the of and to in is it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their".split()
+    for _ in range(300):
+        parts, values = [], []
+        for _ in range(rng.randrange(1, 5)):
+            parts += rng.choices(prose, k=rng.randrange(1, 30))
+            value = "".join(rng.choices(letters, k=rng.randrange(24, 60))) + rng.choice("0123456789") + "aZ"
+            values.append(value)
+            parts.append(rng.choice(['token = "{}"', "password: {}", "api_key={}", "{}", "AKIA" + "ABCD2345" * 2 + " {}"]).format(value))
+        text = " ".join(parts + rng.choices(prose, k=5))
+        found = secret_scan.candidates(text)
+        spans = sorted((s, e) for _, s, e in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        for value in values:
+            at = text.index(value)
+            assert any(s <= at and at + len(value) <= e for s, e in spans), value
+        assert all(any(v in text[s:e] or text[s:e] in v or text[s:e].startswith("AKIA") for v in values) for s, e in spans)
+
+
 def test_candidates_leave_no_rest():
     key, more = "AKIA" + "Z9" * 8, "x1Y" * 14
     assert [text[s:e] for text in [f"a {more}/{key}/{more} b"] for _, s, e in secret_scan.candidates(text)] == [more + "/", key, "/" + more]
