@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from `documents` to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again for the next. All
-but the last keep the columns of `documents`. Ids should be unique; a null id is kept by the filters.
+but the last keep the columns of `documents`. Rows that share an id but not the text are told apart, but for
+``drop_near``, which drops ids; a null id is kept there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, jaccard_join, packing, quality_lm, secret_scan
-from corpusloom.llm.common import settle, table, without
+from corpusloom.llm.common import settle, small_side, table, text_hash, without, without_rows
 from corpusloom.llm.queries import vocabulary
 from corpusloom.session import fresh_folder
 
@@ -21,18 +22,23 @@ NEAR = jaccard_join.Rule(k=5, percent=80, small=84)
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose perplexity is above their language's threshold."""
     judged = quality_lm.classify(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where(~F.col("kept")).select("doc_id"))
+    return without_rows(docs, judged.where(~F.col("kept")).select("doc_id", "body"), text_hash("text"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; a repeated row stays once."""
-    named = settle(exact_dedup.exact_duplicates(docs).where(~F.col("kept")))
-    repeated = named.where("doc_id = keep_id").select("doc_id").distinct()
-    rest = without(docs, named.where("doc_id <> keep_id").select("doc_id"))
+    named = exact_dedup.exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(
+        F.max("kept").alias("stays"), F.count(F.lit(1)).alias("times"))
+    named = settle(named.where("not stays or times > 1"))
+    own = F.sha2(exact_dedup.one_space(F.col("text")).cast("binary"), 256)
+    rest = without_rows(docs, named.where("not stays").select("doc_id", "text_sha256"), own)
+    repeated = settle(named.where("stays").select("doc_id", "text_sha256"))
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, "doc_id", "left_semi").withColumn("_norm", exact_dedup.one_space(F.col("text"))).dropDuplicates(["doc_id", "_norm"])
-    return without(rest, repeated).unionByName(once.select(*rest.columns))
+    single = without_rows(rest, repeated, own)
+    copies = rest.withColumn("_sha", own).join(small_side(repeated.withColumnRenamed("doc_id", "_id")),
+                                              rest["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    return single.unionByName(copies.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
