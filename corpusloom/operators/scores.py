@@ -12,6 +12,8 @@ from corpusloom import fixed_values as fixed
 from corpusloom.functions.text import fixed_point
 from corpusloom.operators.skew import sized_join
 
+MAX_METRICS = 5_000
+
 
 def to_long(wide: DataFrame, model: str, metrics: list[str]) -> DataFrame:
     """One row per model and metric. Scores may be stored as text; a text that is no number is a missing score."""
@@ -24,6 +26,23 @@ def to_wide(long: DataFrame, model: str, metrics: list[str]) -> DataFrame:
     return long.groupBy(model).pivot("metric", metrics).agg(F.first("score", ignorenulls=True))
 
 
+def metric_names(long: DataFrame, most: int = MAX_METRICS) -> list[str]:
+    """All metric names in order, found by a distributed pass. They become columns, so more than ``most`` are an error."""
+    names = [r[0] for r in long.where(F.col("metric").isNotNull()).select("metric").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} metrics: keep the long table")
+    return sorted(names)
+
+
+def collect_objects(read: DataFrame) -> DataFrame:
+    """Rows ``(model, metric, value)`` of score files with any keys as one row per model, columns the union of the keys.
+
+    A text that is no number is a missing score; a model without keys keeps its row.
+    """
+    long = read.select("model", "metric", F.col("value").try_cast("double").alias("score"))
+    return to_wide(long, "model", metric_names(long))
+
+
 def collect_scores(parts: list[DataFrame]) -> DataFrame:
     """Score tables with differing columns as one table over the union of the columns."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import chat
 from corpusloom.operators import conversations as conv_ops
-from corpusloom.plans import score_queries, views
+from corpusloom.operators import scores, upsert
+from corpusloom.plans import merge_queries, score_queries, views
 from corpusloom.plans.oracle_views import with_views
 from corpusloom.session import fresh_folder
-from corpusloom.sources import readers, writers
+from corpusloom.sources import keyed, readers, resume, writers
 
 CHUNK = 50
 ROWS_PER_LOG = 1000
+PARTS = 16
 DOCUMENT = "doc_id long, text string, lang string"
 WIDE = ", ".join(f"{m} double" for m in views.METRICS)
 
@@ -41,7 +43,14 @@ def src_json_objects(spark, d):
     """One score object per model and file; the model comes back from the path."""
     path = fresh_folder(spark, "objects")
     writers.write_json(score_queries.scores_wide(spark, d), path, partition_by=["model"])
-    return readers.json_objects(spark, f"{path}/model=*/*.json", WIDE, r"model=([^/]+)/")
+    return scores.collect_objects(readers.json_key_values(spark, f"{path}/model=*/*.json", r"model=([^/]+)/"))
+
+
+def scores_collect_files(spark, d):
+    """Score files whose keys differ from model to model, as one table over all keys found."""
+    path = fresh_folder(spark, "keys")
+    writers.write_json(score_queries.scores_collect(spark, d), path, partition_by=["model"])
+    return scores.collect_objects(readers.json_key_values(spark, f"{path}/model=*/*.json", r"model=([^/]+)/"))
 
 
 def src_json_string_array(spark, d):
@@ -65,7 +74,7 @@ def src_delimited_scores(spark, d):
 def src_regex_metrics(spark, d):
     path = fresh_folder(spark, "logs")
     writers.write_text(views.log_lines(spark, d).select("log"), path, rows_per_file=ROWS_PER_LOG)
-    return readers.accuracies(readers.log_files(spark, path), "log", [])
+    return readers.accuracies(readers.log_pieces(spark, path), "log", [])
 
 
 def snk_parquet(spark, d):
@@ -97,9 +106,28 @@ def snk_skip_if_present(spark, d):
     return spark.read.parquet(path)
 
 
+def snk_resumed(spark, d):
+    """A write that was stopped after three of its parts, and the run that finishes it."""
+    path = fresh_folder(spark, "resumed")
+    docs = _docs(spark, d).select("doc_id", "lang")
+    stamp = resume.input_stamp(spark, f"{d}/documents.parquet")
+    resume.write_parts(docs, path, "doc_id", stamp, only=range(3))
+    resume.write_resumable(docs, path, "doc_id", stamp)
+    return resume.read_published(spark, path)
+
+
+def replace_in_place(spark, d):
+    """Replaced and new rows written into a table laid out by key: only the touched parts are rewritten."""
+    path = fresh_folder(spark, "keyed")
+    keyed.write_keyed(views.records(spark, d), path, "id", PARTS)
+    keyed.merge_keyed(spark, path, views.incoming(spark, d), "id", "seq", upsert.replace_rows, PARTS)
+    return keyed.read_keyed(spark, path)
+
+
 QUERIES = {f.__name__: f for f in (
     src_parquet_pruned, src_jsonl_multi, src_jsonl_gz, src_json_objects, src_json_string_array, src_delimited_scores,
     src_regex_metrics, snk_parquet, snk_json, snk_csv_scores, snk_skip_if_present,
+    scores_collect_files, snk_resumed, replace_in_place,
 )}
 
 WIDE_SQL = score_queries.ORACLE["scores_wide"]
@@ -116,5 +144,8 @@ ORACLE = {
     "snk_json": with_views(["corpus"], """SELECT id, conversation AS conversations FROM corpus
   UNION ALL SELECT id || '-ja', conversation_ja FROM corpus WHERE conversation_ja IS NOT NULL"""),
     "snk_csv_scores": WIDE_SQL,
+    "scores_collect_files": score_queries.ORACLE["scores_collect"],
+    "snk_resumed": "SELECT doc_id, lang FROM documents",
+    "replace_in_place": merge_queries.ORACLE["replace_last_wins"],
     "snk_skip_if_present": "SELECT doc_id, lang FROM documents",
 }
