@@ -49,6 +49,12 @@ def uuid5(text: Column, namespace: str = UUID_NAMESPACE_OID) -> Column:
     )
 
 
+def text_key(text: Column) -> Column:
+    """32 bytes that stand for a text in joins and groups, so that the text itself is not shuffled or compared. SHA-256:
+    two texts with one key are not known and not looked for. A null text has no key."""
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
+
+
 def chars(text: Column) -> Column:
     return F.length(text).cast("long")
 

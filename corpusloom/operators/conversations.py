@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fixed
 from corpusloom.functions import chat
-from corpusloom.functions.text import hash32, seeded
+from corpusloom.functions.text import hash32, seeded, text_key
 from corpusloom.operators.skew import salted_join
 
 
@@ -71,8 +71,8 @@ def translation_pairs(pairs: DataFrame, en: str, ja: str, seed: int | str = 42)
 
 def complete_with_response(stubs: DataFrame, responses: DataFrame) -> DataFrame:
     """Two-turn stubs ``(id, system, prompt)`` completed by the cached response to the prompt: of several, the smallest."""
-    keyed = responses.groupBy(F.md5("prompt").alias("_md5"), "prompt").agg(F.min("response").alias("response"))
-    joined = salted_join(stubs.withColumn("_md5", F.md5("prompt")), keyed, ["_md5", "prompt"], "inner", ["id"], hot_on=["_md5"])
+    keyed = responses.groupBy(text_key(F.col("prompt")).alias("_text")).agg(F.min("response").alias("response"))
+    joined = salted_join(stubs.withColumn("_text", text_key(F.col("prompt"))), keyed, ["_text"], "inner", ["id"])
     return joined.select("id", chat.triple(F.col("system"), F.col("prompt"), F.col("response")).alias("conversation"))
 
 

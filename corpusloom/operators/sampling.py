@@ -14,8 +14,8 @@ from corpusloom.session import shared_folder
 
 NGRAM_BUCKETS = 10_000
 MICRO = 1_000_000
-SCORE_STEP = 16
-SCORE_SPAN = 1 << 15
+SKETCH_K = 2_000
+SKETCH_MARGIN = 0.01
 BROADCAST_KEYS = 5_000_000
 
 
@@ -83,20 +83,25 @@ def gumbel_micro(seed: int | str, key: Column) -> Column:
 def resample_keys(weights: DataFrame, id: str, n: int, seed: int | str) -> DataFrame:
     """``(id, score)`` of the ``n`` documents with the largest weight plus noise, ties by id.
 
-    A histogram over clamped score steps (at most 2 x SCORE_SPAN rows) drops nearly all other rows first; the rest is
-    ranked by a distributed sort, so neither the size of ``n`` nor many equal weights load one task.
+    A quantile sketch, merged from one per task, gives a band of scores around the n-th; rows below are counted, and
+    only the band (some 2 * SKETCH_MARGIN of the rows, and those that share its scores) is ranked by a distributed sort. The
+    counts tell whether the n-th row lies in the band; if ever not, all rows are the band. The result is exact.
     """
     # Ascending key: the best score is the smallest. The narrow keys are kept, as the n-gram pass behind them is long.
     shared_folder(weights.sparkSession)
     keyed = weights.select(id, (-(F.col("micro") + gumbel_micro(seed, F.col(id)))).alias("_neg")).checkpoint()
-    step = F.greatest(F.least(F.floor(F.col("_neg") * SCORE_STEP / MICRO), F.lit(SCORE_SPAN)), F.lit(-SCORE_SPAN)).cast("long")
-    stepped = keyed.withColumn("_step", step)
-    histogram = stepped.groupBy("_step").agg(F.count(F.lit(1)).alias("_n"))
-    upto = histogram.selectExpr("_step", "sum(_n) over (order by _step) as _upto")
-    last_step = upto.where(F.col("_upto") >= n).agg(F.min("_step")).first()[0]
-    survivors = (stepped if last_step is None else stepped.where(F.col("_step") <= last_step)).drop("_step")
-    cut = cut_by_order(survivors, [], ["_neg", id], F.lit(n))
-    kept = apply_cut(survivors, cut, [], ["_neg", id], [id])
+    rows, sketch = keyed.agg(F.count(F.lit(1)), F.kll_sketch_agg_bigint("_neg", SKETCH_K)).first()
+    if n <= 0 or rows <= n:
+        return (keyed.limit(0) if n <= 0 else keyed).select(id, (-F.col("_neg")).alias("score"))
+    ranks = [min(max(n / rows + m, 0.0), 1.0) for m in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    quantiles = [F.kll_sketch_get_quantile_bigint(F.lit(bytes(sketch)), F.lit(r)) for r in ranks]
+    low, high = keyed.sparkSession.range(1).select(*quantiles).first()
+    below, upto = keyed.agg(F.count_if(F.col("_neg") < low), F.count_if(F.col("_neg") <= high)).first()
+    sure, band = keyed.where(F.col("_neg") < low), keyed.where(F.col("_neg").between(low, high))
+    if not below <= n <= upto:
+        sure, band, below = keyed.limit(0), keyed, 0
+    cut = cut_by_order(band, [], ["_neg", id], F.lit(n - below))
+    kept = sure.unionByName(apply_cut(band, cut, [], ["_neg", id], [id]))
     return kept.select(id, (-F.col("_neg")).alias("score"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fixed
-from corpusloom.functions.text import chars, is_blank, latin_share, line_count, token_count, utf8_bytes, uuid5
+from corpusloom.functions.text import chars, is_blank, latin_share, line_count, text_key, token_count, utf8_bytes, uuid5
 from corpusloom.operators.conversations import assemble
 from corpusloom.operators.skew import salted_join
 from corpusloom.operators.upsert import first_per_key
@@ -23,21 +23,26 @@ def repeated_prompts(turns: DataFrame, role: str = "system") -> DataFrame:
 def lookup(turns: DataFrame, cache: DataFrame, spread: list[str], when: Column | None = None) -> DataFrame:
     """Add the cached ``value_ja`` and ``translator`` of each turn text, null where the cache has none.
 
-    The join key is the md5 of the text, checked against the text itself, so sorts never compare long texts. Null and
-    blank outputs count as missing. The cache is reduced to one row per text first, so it cannot multiply turns; a prompt that most turns share is
-    salted. ``when`` limits the lookup to some turns.
+    Texts meet by ``text_key``, so neither side's source text is shuffled unless the caller uses it afterwards. Null and
+    blank outputs count as missing. The cache is reduced to one row per text first, so it cannot multiply turns; a prompt
+    that most turns share is salted. ``when`` limits the lookup to some turns.
     """
-    filled = cache.where(~is_blank(F.col("prompt_ja"))).withColumn("_md5", F.md5("prompt_en"))
-    unique = first_per_key(filled, ["_md5", "prompt_en"], [F.col("prompt_ja"), F.col("translator")])
-    unique = unique.select("_md5", F.col("prompt_en").alias("value"), F.col("prompt_ja").alias("value_ja"), "translator")
-    md5 = F.md5("value") if when is None else F.when(when, F.md5("value"))
-    return salted_join(turns.withColumn("_md5", md5), unique, ["_md5", "value"], "left", spread, hot_on=["_md5"]).drop("_md5")
+    filled = cache.where(~is_blank(F.col("prompt_ja"))).select(
+        text_key(F.col("prompt_en")).alias("_text"), F.col("prompt_ja").alias("value_ja"), "translator")
+    unique = first_per_key(filled, ["_text"], [F.col("value_ja"), F.col("translator")])
+    key = text_key(F.col("value"))
+    return salted_join(turns.withColumn("_text", key if when is None else F.when(when, key)), unique, ["_text"], "left", spread).drop("_text")
+
+
+def _looked_up(turns: DataFrame, cache: DataFrame, id: str) -> tuple[DataFrame, Column]:
+    """Turns with their translation, and whether a turn has one. What is asked of the source text is settled before the join."""
+    found = lookup(turns.withColumn("_blank", is_blank(F.col("value"))), cache, [id, "idx"])
+    return found, F.coalesce(~F.col("_blank") & ~is_blank(F.col("value_ja")), F.lit(False))
 
 
 def translate_conversations(turns: DataFrame, cache: DataFrame, id: str = "id") -> DataFrame:
     """Translated conversations; one blank or untranslated turn drops the conversation."""
-    found = lookup(turns, cache, [id, "idx"])
-    ready = F.coalesce(~is_blank(F.col("value")) & ~is_blank(F.col("value_ja")), F.lit(False))
+    found, ready = _looked_up(turns, cache, id)
     return assemble(found, id, "value_ja", keep=ready)
 
 
@@ -47,10 +52,9 @@ def translate_without_refusals(turns: DataFrame, cache: DataFrame, verdicts: Dat
     The verdict is on the translated text, by its id; a conversation with a blank or untranslated turn is dropped before.
     Texts still to be checked do not drop one.
     """
-    found = lookup(turns, cache, [id, "idx"])
+    found, ready = _looked_up(turns, cache, id)
     outputs = found.where(~is_blank(F.col("value_ja"))).select(id, "idx", F.col("value_ja").alias("value"))
     checked = check_refusals(outputs, verdicts, [id, "idx"])
-    ready = F.coalesce(~is_blank(F.col("value")) & ~is_blank(F.col("value_ja")), F.lit(False))
     return drop_refused(assemble(found, id, "value_ja", keep=ready), checked, id)
 
 
@@ -65,13 +69,11 @@ def translate_system_only(turns: DataFrame, cache: DataFrame, fresh: DataFrame,
 
 def plan_requests(turns: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct texts still to translate, with the model that takes a prompt of that length."""
-    wanted = (
-        turns.where(~is_blank(F.col("value"))).select(F.md5("value").alias("_md5"), F.col("value").alias("text")).distinct()
-    )
-    have = cache.select(F.md5("prompt_en").alias("_md5"), F.col("prompt_en").alias("text"))
+    wanted = turns.where(~is_blank(F.col("value"))).select(text_key(F.col("value")).alias("_text"), F.col("value").alias("text"))
+    have = cache.select(text_key(F.col("prompt_en")).alias("_text"))
     overhead = len(fixed.TRANSLATE_REQUEST) - len("{text}")
     route = F.when(F.length("text") + overhead <= fixed.SHORT_MODEL_CHARS, "short").otherwise("long")
-    return wanted.join(have, ["_md5", "text"], "left_anti").select("text", route.alias("model"))
+    return wanted.dropDuplicates(["_text"]).join(have, "_text", "left_anti").select("text", route.alias("model"))
 
 
 def gate(text: Column, output: Column, leak: str = fixed.LEAK_MARKER, low: float = fixed.GATE_RATIO_LOW,

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusloom.functions.text import text_key
+
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
@@ -52,26 +54,24 @@ def match_content(target: DataFrame, batch: DataFrame, content: str, update: str
     """Update the row with the same content, else insert under the batch row's own key.
 
     Batch rows that share a content insert once, under the first key, and the last ``update`` value stands.
-    Rows without content match nothing. Content is compared by md5 and text, so that sorts see a short key first.
+    Rows without content match nothing. Contents meet by ``text_key``: the target's are not shuffled, and the batch's move
+    once, as a row to be inserted needs its own.
     """
-    md5 = F.md5(F.col(content))
-    known = (
-        first_per_key(
-            target.where(F.col(content).isNotNull()).select(key, content).withColumn("_md5", md5),
-            ["_md5", content], [F.col(key)],
-        ).select("_md5", content, F.col(key).alias("_target"))
-    )
-    kept = [c for c in batch.columns if c not in (content, update, seq)]
+    text = text_key(F.col(content))
+    known = first_per_key(
+        target.where(F.col(content).isNotNull()).select(key, text.alias("_text")), ["_text"], [F.col(key)],
+    ).select("_text", F.col(key).alias("_target"))
+    kept = [c for c in batch.columns if c not in (update, seq)]
     merged = (
-        batch.where(F.col(content).isNotNull()).withColumn("_md5", md5).groupBy("_md5", content)
+        batch.where(F.col(content).isNotNull()).withColumn("_text", text).groupBy("_text")
         .agg(F.min_by(F.struct(*kept), F.col(seq)).alias("_first"), F.max_by(F.struct(update), F.col(seq)).alias("_last"))
-        .select("_md5", content, "_first.*", "_last.*")
+        .select("_text", "_first.*", "_last.*")
     )
-    matched = merged.join(known, ["_md5", content], "left")
+    matched = merged.join(known, "_text", "left")
     updates = matched.where(F.col("_target").isNotNull()).select(
         F.col("_target").alias(key), F.col(update).alias("_new"), F.lit(True).alias("_hit")
     )
-    inserts = matched.where(F.col("_target").isNull()).drop("_md5", "_target")
+    inserts = matched.where(F.col("_target").isNull()).drop("_text", "_target")
     bare = batch.where(F.col(content).isNull()).drop(seq)
     updated = (
         target.join(updates, key, "left")

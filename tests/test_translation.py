@@ -15,10 +15,38 @@ def test_salted_join_equals_plain_join(spark):
     right = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 40, 2)]
     lf, rf = spark.createDataFrame(left, "i long, k string"), spark.createDataFrame(right, "k string, v long")
     for how in ("left", "inner", "left_anti", "left_semi"):
-        got = skew.salted_join(lf, rf, ["k"], how, ["i"], hot_rows=500, sample=1)
+        got = skew.salted_join(lf, rf, ["k"], how, ["i"], hot_rows=500)
         want = lf.join(rf, "k", how)
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
-    assert [r["k"] for r in skew.hot_keys(lf, ["k"], ["i"], hot_rows=500, sample=1).collect()] == ["hot"]
+    hot = spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert [tuple(r) for r in skew.hot_keys(lf, ["k"], hot_rows=500).collect()] == [(hot, 2)]
+
+
+def test_a_key_of_a_million_rows_fills_several_tasks(spark):
+    left = spark.range(0, 1_500_000, 1, 8).select("id", F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    right = left.select("k").distinct().withColumn("v", F.length("k"))
+    assert skew.hot_keys(left, ["k"], hot_rows=100_000).select("_slices").collect()[0][0] in range(10, 12)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        joined = skew.salted_join(left, right, ["k"], "inner", ["id"], hot_rows=100_000)
+        sizes = [r["n"] for r in joined.where("k = 'hot'").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 1_000_000 and len(sizes) >= 5 and max(sizes) < 500_000
+
+
+def test_source_texts_are_not_shuffled_to_find_translations(spark):
+    turns = spark.range(10).selectExpr("cast(id AS string) AS id", "0L AS idx", "'gpt' AS `from`", "concat('long text ', id) AS value")
+    cache = spark.range(5).selectExpr("concat('long text ', id) AS prompt_en", "concat('JA', id) AS prompt_ja", "'t' AS translator")
+    done = translation.translate_conversations(turns, cache)
+    assert sorted(r["conversation"][0]["value"] for r in done.collect()) == [f"JA{i}" for i in range(5)]
+    joins = done._jdf.queryExecution().optimizedPlan().toString()
+    after = joins[:joins.index("Join LeftOuter, ((_text")]
+    assert "value_ja" in after and " value#" not in after and ",value#" not in after
 
 
 def test_sized_join_beyond_the_limit(spark):
