@@ -69,6 +69,11 @@ def translation_pairs(pairs: DataFrame, en: str, ja: str, seed: int | str = 42)
     return pairs.select(F.inline(tasks))
 
 
+def combined_export(df: DataFrame, id_en: Column, id_ja: Column, pairs: DataFrame, en: str, ja: str) -> DataFrame:
+    """Records of both languages and the translation tasks of the text pairs as one table ``(id, conversations)``. No shuffle."""
+    return bilingual_records(df, id_en, id_ja).unionByName(translation_pairs(pairs, en, ja))
+
+
 def complete_with_response(stubs: DataFrame, responses: DataFrame) -> DataFrame:
     """Two-turn stubs ``(id, system, prompt)`` completed by the cached response to the prompt: of several, the smallest."""
     keyed = responses.groupBy(text_key(F.col("prompt")).alias("_text")).agg(F.min("response").alias("response"))

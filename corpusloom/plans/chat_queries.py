@@ -62,9 +62,20 @@ def bilingual_emit(spark, d):
     return records.select("id", F.to_json("conversations").alias("conversations"))
 
 
+def _task_pairs(spark, d):
+    return filters.long_pairs(views.pairs(spark, d), "en").where(~filters.looks_like_code(F.col("ja")))
+
+
+def combined_export(spark, d):
+    """The training file: translated conversations in both languages, and long pairs without code as translation tasks."""
+    corpus = filters.translated(views.corpus_arrays(spark, d))
+    id = F.concat(F.lit("identity_"), "id")
+    rows = ops.combined_export(corpus, id, F.concat(id, F.lit("_ja")), _task_pairs(spark, d), "en", "ja")
+    return rows.select("id", F.to_json("conversations").alias("conversations"))
+
+
 def translation_pairs(spark, d):
-    pairs = filters.long_pairs(views.pairs(spark, d), "en").where(~filters.looks_like_code(F.col("ja")))
-    tasks = ops.translation_pairs(pairs, "en", "ja")
+    tasks = ops.translation_pairs(_task_pairs(spark, d), "en", "ja")
     c = F.col("conversations")
     return tasks.select("id", c[0]["value"].alias("system"), c[1]["value"].alias("human"), c[2]["value"].alias("gpt"))
 
@@ -118,7 +129,7 @@ def run_grid(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     conv_assemble, conv_json_roundtrip, role_to_sharegpt, role_to_chat, first_assistant_turn, prompt_concat, conv_build,
-    bilingual_emit, translation_pairs, instruction_template, request_template, strip_delimiters, chat_render,
+    bilingual_emit, combined_export, translation_pairs, instruction_template, request_template, strip_delimiters, chat_render,
     task_fanout, run_grid,
 )}
 
@@ -203,3 +214,7 @@ def _pairs_oracle() -> str:
 
 
 ORACLE["translation_pairs"] = _pairs_oracle()
+# Each part is a subquery, since it brings its own WITH list.
+ORACLE["combined_export"] = f"""SELECT id, conversations FROM ({ORACLE["bilingual_emit"]})
+  UNION ALL SELECT id, to_json([{{'from': 'system', 'value': system}}, {{'from': 'human', 'value': human}}, {{'from': 'gpt', 'value': gpt}}])::VARCHAR
+  FROM ({ORACLE["translation_pairs"]})"""

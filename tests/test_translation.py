@@ -163,3 +163,16 @@ def test_cost_prices_output_tokens(spark):
     row = translation.cost(cache, "word").first()
     assert (row["tokens_in"], row["tokens_out"]) == (2, 3)
     assert abs(row["cost_in"] - 0.00006) < 1e-12 and abs(row["cost_out"] - 0.00018) < 1e-12
+
+
+def test_combined_export_holds_records_and_tasks(spark):
+    kind = "array<struct<`from`:string,value:string>>"
+    corpus = spark.createDataFrame([("a", [("human", "hi")], [("human", "JA")]), ("b", [("human", "yo")], None)],
+                                   f"id string, conversation {kind}, conversation_ja {kind}")
+    pairs = spark.createDataFrame([("one", "JA1"), ("one", "JA1")], "en string, ja string")
+    rows = conversations.combined_export(corpus, F.col("id"), F.concat("id", F.lit("_ja")), pairs, "en", "ja").collect()
+    assert sorted(r["id"] for r in rows if not r["id"].startswith("translate-")) == ["a", "a_ja", "b"]
+    tasks = [r for r in rows if r["id"].startswith("translate-")]
+    assert len(tasks) == 4 and {r["conversations"][2]["value"] for r in tasks} == {"one", "JA1"}
+    empty = conversations.combined_export(corpus.where("false"), F.col("id"), F.col("id"), pairs.where("false"), "en", "ja")
+    assert empty.count() == 0
