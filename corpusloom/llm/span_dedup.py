@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_arrow, per_text, settle
 from corpusloom.llm.hashing import mix, word_hashes
+from corpusloom.operators.skew import salted_join
 
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
@@ -100,20 +101,41 @@ def without_sentences(text: bytes, spans: list[int], rule: Spans) -> tuple[bytes
     return text[: edge[0]] + b"".join(text[edge[i] : edge[i + 1]] for i in np.flatnonzero(keep)), len(at), int((~keep).sum())
 
 
+#: The filter of repeated hashes: 64 bits for each of them, at most this many words of 64 bits; with more than 8 hashes a word it is left out.
+FILTER_WORDS = 1 << 20
+
+
+def maybe_repeated(spans: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The spans whose hash is in ``repeated`` (settled, unique), and with a short list up to an eighth of the others.
+
+    A bitmap sized from the count is broadcast (at most FILTER_WORDS rows of 16 bytes), so spans met once are not shuffled.
+    A list too long for it is joined, with hot hashes salted.
+    """
+    n = repeated.count()
+    if n > 8 * FILTER_WORDS:
+        return salted_join(spans, repeated, ["hash"], "inner", ["id", "body", "pos"])
+    words = min(FILTER_WORDS, 1 << max(10, n.bit_length()))
+    word = F.col("hash").bitwiseAND(F.lit(words - 1)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 32) & 63 as int))")
+    bitmap = repeated.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return spans.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
     """(id, body, removed): the first sentences of the spans of each text that have an earlier place.
 
     ``docs`` has (id, body, text). First is the smallest (id, body, place); a null id comes first. Only hashes are shuffled
-    to find the repeated ones; they are made twice, which costs less than to keep them all.
+    to find the repeated ones; they are made twice, which costs less than to keep them all. The second time those met once
+    are left out where they are made.
     """
     runs = per_text(docs, ["id", "body"], "text", {"hashes": "array<long>"}, lambda t: run_of_spans(t, rule))
     spans = runs.select("id", "body", F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
     place = F.struct("id", "body", "pos")
     times = runs.select(F.explode("hashes").alias("hash")).where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
     repeated = settle(times.where("times > 1").select("hash"))
-    places = settle(spans.join(repeated, "hash"))
-    first = settle(places.groupBy("hash").agg(F.min(place).alias("first")))
-    later = places.join(first, "hash").where(place != F.col("first"))
+    places = settle(maybe_repeated(spans, repeated))
+    first = settle(places.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
+    later = salted_join(places, first, ["hash"], "inner", ["id", "body", "pos"]).where(place != F.col("first"))
     return later.groupBy("id", "body").agg(F.collect_set("pos").alias("removed"))
 
 
