@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import settle
+from corpusloom.operators.skew import HOT_ROWS, salted_join
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(node, component)`` for each node of ``links`` (a, b); the component is the smallest node reachable.
 
     Each round, a node takes the smallest label among itself and its neighbours, then the label of that label, so reach
-    doubles. Minima are taken map-side, and a node with many links costs its task a running minimum only.
+    doubles. Minima are taken map-side. Where there are ``hot_rows`` link rows or more, those of a node with that many are dealt
+    to several tasks to meet its label, and so are the nodes of a large component; fewer fit one task whatever node they have.
     """
+    def join(many: DataFrame, one: DataFrame, on: str) -> DataFrame:
+        return salted_join(many, one, [on], "inner", ["node"], hot_rows) if large else many.join(one, on)
+
     both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     labels = settle(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("component")))
+    large = both.count() >= hot_rows
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        near = join(both, labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
         closer = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         onward = closer.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        stepped = settle(closer.join(onward, "component").select("node", F.least("component", "far").alias("component"), "was"))
+        stepped = settle(join(closer, onward, "component").select("node", F.least("component", "far").alias("component"), "was"))
         labels = stepped.select("node", "component")
         if stepped.where("component < was").isEmpty():
             return labels

@@ -44,12 +44,21 @@ def test_exact_repeated_rows_and_empty(spark):
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_components(spark, hot_rows):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 70), (70, 70)], "a long, b long")
-    got = {r.node: r.component for r in graph.components(links).collect()}
+    got = {r.node: r.component for r in graph.components(links, hot_rows).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 70: 50}
 
 
+def test_components_with_a_hub(spark):
+    """A node with most of the links, and two that meet only through it."""
+    pairs = [(i, 500) for i in range(2, 400)] + [(500, 900), (900, 1), (1000, 1001)]
+    links = spark.createDataFrame([(f"n{a:04}", f"n{b:04}") for a, b in pairs], "a string, b string")
+    got = {r.node: r.component for r in graph.components(links, 50).collect()}
+    assert got == {f"n{i:04}": "n0001" for i in [*range(1, 400), 500, 900]} | {"n1000": "n1000", "n1001": "n1000"}
+
+
 def plain_near(rows, k=4, percent=85):
     sets = {}
     for i, t in rows:
@@ -169,6 +178,35 @@ def test_passages_at_any_offset_hold_a_span(spark):
     assert sum(gone.values()) > 0.5 * sum(sizes.values())
 
 
+def plain_spans(rows, rule=span_dedup.Spans()):
+    """Sentences left of each text: of equal shortest runs that are long enough, only the first place keeps its sentences."""
+    parts = {i: [p for p in re.findall(r"[^.!?\n]*[.!?\n]\s*|[^.!?\n]+$", t or "") if p.strip()] for i, t in rows}
+    places = {}
+    for i, own in parts.items():
+        words = [p.lower().split() for p in own]
+        for a in range(len(own)):
+            for b in range(a + rule.sentences, len(own) + 1):
+                run = sum(words[a:b], [])
+                if len(run) >= rule.words:
+                    places.setdefault(tuple(run), []).append((i, a, b))
+                    break
+    gone = {(i, k) for found in places.values() for i, a, b in sorted(found)[1:] for k in range(a, b)}
+    return {i: ["".join(p.split()) for k, p in enumerate(own) if (i, k) not in gone] for i, own in parts.items()}
+
+
+@pytest.mark.parametrize("filter_words", [0, 1, 1 << 20])
+def test_spans_equal_brute_force(spark, monkeypatch, filter_words):
+    """With the filter, with one that lets all pass, and without; one passage is in every second text."""
+    monkeypatch.setattr(span_dedup, "FILTER_WORDS", filter_words)
+    rng = random.Random(3)
+    pool = [" ".join(f"{rng.choice('abcd')}{rng.randrange(99)}" for _ in range(rng.randrange(1, 11))) + rng.choice(".!?") for _ in range(120)]
+    rows = [(i, " ".join(rng.choices(pool, k=rng.randrange(12))) + (" " + " ".join(pool[:6]) if i % 2 else "") + " " + " ".join(rng.sample(pool, 3))) for i in range(60)]
+    rows += [(90, None), (91, ""), (92, " \n ")]
+    got = {r.doc_id: "".join(r.text.split()) for r in span_dedup.drop_repeated_spans(frame(spark, rows)).collect()}
+    want = plain_spans(rows)
+    assert got == {i: "".join(left) for i, left in want.items()} and any(got[i] != "".join((t or "").split()) for i, t in rows)
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     got = span_dedup.drop_repeated_spans(frame(spark, [(1, PASSAGE), (1, PASSAGE), (1, "Other text."), (None, "No id.")])).collect()
     assert sorted(r.text for r in got) == sorted([PASSAGE, PASSAGE, "Other text.", "No id."])
