@@ -101,24 +101,36 @@ def without_sentences(text: bytes, spans: list[int], rule: Spans) -> tuple[bytes
     return text[: edge[0]] + b"".join(text[edge[i] : edge[i + 1]] for i in np.flatnonzero(keep)), len(at), int((~keep).sum())
 
 
-#: The filter of repeated hashes: 64 bits for each of them, at most this many words of 64 bits; with more than 8 hashes a word it is left out.
+#: Words of 64 bits in a filter of listed hashes, at most; it has 64 bits or more for each hash up to there, and 8 for the longest list.
 FILTER_WORDS = 1 << 20
 
 
-def maybe_repeated(spans: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The spans whose hash is in ``repeated`` (settled, unique), and with a short list up to an eighth of the others.
+def filter_holds(listed: DataFrame) -> bool:
+    """Whether a list of hashes is short enough for the filter."""
+    return listed.count() <= 8 * FILTER_WORDS
+
+
+def mark_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Adds ``listed``: true if ``hash`` is in the list (settled, unique), and for up to an eighth of the other hashes.
 
-    A bitmap sized from the count is broadcast (at most FILTER_WORDS rows of 16 bytes), so spans met once are not shuffled.
-    A list too long for it is joined, with hot hashes salted.
+    The filter is a bitmap sized from the count; its words, at most FILTER_WORDS rows of 16 bytes whatever the input, are broadcast.
     """
-    n = repeated.count()
-    if n > 8 * FILTER_WORDS:
-        return salted_join(spans, repeated, ["hash"], "inner", ["id", "body", "pos"])
-    words = min(FILTER_WORDS, 1 << max(10, n.bit_length()))
+    words = min(FILTER_WORDS, 1 << max(10, listed.count().bit_length()))
     word = F.col("hash").bitwiseAND(F.lit(words - 1)).alias("word")
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 32) & 63 as int))")
-    bitmap = repeated.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return spans.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+    bitmap = listed.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hit = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    return rows.withColumn("word", word).join(F.broadcast(bitmap), "word", "left").withColumn("listed", hit).drop("word", "bits")
+
+
+def maybe_repeated(spans: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The spans whose hash is repeated, and a few others: those the filter leaves. So spans met once are not shuffled.
+
+    A list too long for the filter is joined, with hot hashes salted.
+    """
+    if filter_holds(repeated):
+        return mark_listed(spans, repeated).where("listed").drop("listed")
+    return salted_join(spans, repeated, ["hash"], "inner", ["id", "body", "pos"])
 
 
 def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
@@ -139,14 +151,21 @@ def repeated_sentences(docs: DataFrame, rule: Spans) -> DataFrame:
     return later.groupBy("id", "body").agg(F.collect_set("pos").alias("removed"))
 
 
-#: Bytes of the list of texts that lose sentences, with 32 for each text and 4 for each sentence, that may be broadcast.
-BROADCAST_BYTES = 16 << 20
+def with_removed(source: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts with their sentences to remove, or null. Only texts that the filter cannot rule out meet the list by a shuffle.
 
-
-def few_spans(found: DataFrame) -> DataFrame:
-    """A settled list, marked for broadcast if it is measured to be short; else the texts are shuffled to it."""
-    size = found.agg(F.sum(4 * F.size("removed") + 32)).first()[0] or 0
-    return F.broadcast(found) if size <= BROADCAST_BYTES else found
+    All texts do where the list is too long for the filter.
+    """
+    name = F.xxhash64("id", "body")
+    listed = settle(found.select(name.alias("hash")).distinct())
+    if not filter_holds(listed):
+        same = source["id"].eqNullSafe(found["id"]) & (source["body"] == found["body"])
+        return source.join(found, same, "left").select(source["id"], source["text"], "removed")
+    marked = mark_listed(source.withColumn("hash", name), listed)
+    some, rest = marked.where("listed"), marked.where("not listed")
+    same = some["id"].eqNullSafe(found["id"]) & (some["body"] == found["body"])
+    joined = some.join(found, same, "left").select(some["id"], some["text"], "removed")
+    return joined.unionByName(rest.select("id", "text", F.lit(None).cast("array<int>").alias("removed")))
 
 
 def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Spans = Spans()) -> DataFrame:
@@ -156,9 +175,8 @@ def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text",
     text and come out alike; ``body``, a hash of the text, tells apart rows that share an id only.
     """
     source = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = few_spans(settle(repeated_sentences(source, rule)))
-    same = source["id"].eqNullSafe(found["id"]) & (source["body"] == found["body"])
-    joined = source.join(found, same, "left").select(source["id"].alias("doc_id"), source["text"].cast("binary").alias("text"), "removed")
+    found = settle(repeated_sentences(source, rule))
+    joined = with_removed(source, found).select(F.col("id").alias("doc_id"), F.col("text").cast("binary").alias("text"), "removed")
     id_type = joined.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
