@@ -18,7 +18,8 @@ def pending(corpus: DataFrame, categories: list[str] | None = None) -> DataFrame
 
 
 def shortest_first(corpus: DataFrame) -> DataFrame:
-    return corpus.orderBy(F.length("conversation"), "id")
+    """Rows by length, with ``chars``. The length is taken before the sort, so a caller that selects narrow columns sorts those only."""
+    return corpus.withColumn("chars", F.length("conversation").cast("long")).orderBy("chars", "id")
 
 
 def translated(corpus: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _queue(df):
 
 
 def pending_queue(spark, d):
-    return _queue(filters.shortest_first(filters.pending(views.corpus(spark, d))))
+    return filters.shortest_first(filters.pending(views.corpus(spark, d))).select("id", "category", "chars")
 
 
 def pending_by_category(spark, d):
