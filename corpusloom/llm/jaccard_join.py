@@ -35,8 +35,8 @@ from corpusloom.llm.hashing import mix, shingle_sets
 
 @dataclass(frozen=True)
 class Rule:
-    """Two sets link when ``100 * shared >= percent * union``. A token is frequent when more than ``frequent`` sets have it
-    among their first ones. Sets below ``small`` tokens use single tokens; the tier of ``small * 4**t`` and more has
+    """Two sets link when ``100 * shared >= percent * union``. A token is frequent when more than ``frequent`` of the sets
+    that may have a partner have it. Sets below ``small`` tokens use single tokens; the tier of ``small * 4**t`` and more has
     ``classes * 4**t`` classes (``small`` must be at least ``classes * 100 / percent + 2``)."""
 
     k: int = 4
@@ -160,11 +160,16 @@ def head_size(n: int, rule: Rule) -> int:
     return p + p // 4 + 2
 
 
+def _token_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(row, tokens): each text's set."""
+    return per_text(docs, ["row"], "text", {"tokens": "array<long>"}, lambda texts: {"tokens": shingle_sets(texts, rule.k)})
+
+
 def _whole_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     """(row, tokens) of the texts with these rows. Few ids are broadcast, so texts stay where they lie; many are joined."""
     few = ids.count() <= rule.broadcast_ids
     some = docs.join(F.broadcast(ids) if few else ids, "row", "left_semi")
-    return per_text(some, ["row"], "text", {"tokens": "array<long>"}, lambda texts: {"tokens": shingle_sets(texts, rule.k)})
+    return _token_sets(some, rule)
 
 
 def _often(sets: DataFrame, tokens: str, frequent: DataFrame, few: bool) -> DataFrame:
@@ -190,7 +195,8 @@ def _often(sets: DataFrame, tokens: str, frequent: DataFrame, few: bool) -> Data
 
 def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(sig, row, n): the signatures of every set that has tokens."""
-    tokens = sets.select("row", F.explode("head").alias("token"))
+    # counted over whole sets: the smallest hashes alone would miss most of the tokens that shared passages make frequent
+    tokens = _token_sets(docs, rule).select(F.explode("tokens").alias("token"))
     frequent = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > rule.frequent).select("token"))
     few = frequent.count() <= rule.broadcast_ids  # 8 bytes each
     need = _need(rule)
