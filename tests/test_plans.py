@@ -35,3 +35,12 @@ def test_cap_filters_texts_without_a_shuffle(spark):
     """The cut is broadcast; only narrow keys are shuffled to find it, and no text."""
     text = plan(registry.QUERIES["per_source_cap"](spark, "/root/testdata/sf0.01").drop("x"))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_queue_sorts_without_texts(spark):
+    """The range sort of the pending queue has lengths and keys only."""
+    text = plan(registry.QUERIES["pending_queue"](spark, SF))
+    sort = text[text.index("Sort [chars"):]
+    between = sort[: sort.index("Project")]
+    assert "rangepartitioning(chars" in between and "conversation" not in between
+    assert "AS chars" in sort[sort.index("Project"):].splitlines()[0]
