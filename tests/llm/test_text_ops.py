@@ -432,6 +432,36 @@ def test_kneser_ney_sums_to_one_and_equals_a_plain_version(spark):
         assert abs(chance(g, [three, two, one]) - p[g]) < 1e-5, g
 
 
+def test_texts_start_as_often_as_in_the_trusted_ones(spark, monkeypatch):
+    """Bigrams of the mark before a text keep their counts, so the lower order knows how texts begin, and all sums are 1."""
+    texts = ["abc"] * 6 + ["acb"] * 3 + ["bca", "bac", "cab"] + ["dab"]
+    docs = frame(spark, list(enumerate(texts)))
+    letters = quality_lm.common_characters(docs, "text")
+    size = len(letters) + 2
+    model = quality_lm.fit(docs, "text", letters, size, quality_lm.END)
+    three = Counter(g for t in texts for s in [[quality_lm.END] * 2 + [*map(ord, t)] + [quality_lm.END]] for g in zip(s, s[1:], s[2:], strict=False))
+    two = Counter((v, w) for _, v, w in three)
+    two.update({g: n - 1 for g, n in Counter((quality_lm.END, ord(t[0])) for t in texts).items()})
+    n = [sum(c == i for c in two.values()) for i in range(5)]
+    y = n[1] / (n[1] + 2 * n[2])
+    d = [0, *(max(0, min(i, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3))] if n[1] and n[2] and n[3] else [0, 0.5, 0.75, 0.9]
+    p1 = {r.w: r.p1 for r in model.one.collect()}
+    seen = {(r.v, r.w): r.p2 for r in model.two.collect()}
+    assert set(seen) == set(two)
+    for (v, w), c in two.items():
+        here = [x for (a, _), x in two.items() if a == v]
+        assert abs(seen[v, w] - (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in here) * p1[w]) / sum(here)) < 1e-9
+    assert seen[quality_lm.END, ord("a")] > 2 * seen[quality_lm.END, ord("b")]
+    p = 2.0 ** -quality_lm.dense(model, letters).astype(float).reshape((quality_lm.ALPHABET,) * 3)
+    assert np.allclose(p[:, :, :size].sum(axis=2), 1, atol=1e-4)
+    # the query's own model has it
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    fitted, real = [], quality_lm.fit
+    monkeypatch.setattr(quality_lm, "fit", lambda *a: fitted.append(a) or real(*a))
+    quality_lm.classify(docs, labels).collect()
+    assert fitted[0][-1] == quality_lm.END
+
+
 def test_joined_trigrams_score_like_the_table(spark):
     texts = ["the cat sat", "the dog sat on the mat", "a cat and a dög", "that hat", "", "日本 the cat", "日本 the 本日 dög", None]
     docs = frame(spark, list(enumerate(texts)))
