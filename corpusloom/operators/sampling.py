@@ -19,28 +19,48 @@ SKETCH_MARGIN = 0.01
 BROADCAST_KEYS = 5_000_000
 
 
-def ngrams(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """One row per unigram and bigram occurrence: ``(id, gram)``, over lower-case words and marks."""
-    listed = docs.select(id, tokens(F.lower(F.col(text)), "word_or_mark").alias("_t"))
-    shifted = listed.withColumn("_u", F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1))))
-    pairs = shifted.select(id, F.explode(F.arrays_zip("_t", "_u")).alias("_p"))
-    a, b = F.col("_p._t"), F.col("_p._u")
-    grams = F.when(b.isNull(), F.array(a)).otherwise(F.array(a, F.concat(a, F.lit(" "), b)))
-    return pairs.select(id, F.explode(grams).alias("gram"))
+def gram_buckets(docs: DataFrame, text: str, buckets: int = NGRAM_BUCKETS) -> Column:
+    """The bucket of each unigram and bigram occurrence of a text, over lower-case words and marks; a null text has none.
+
+    An array column holds buckets already, as ``hashed`` leaves them.
+    """
+    if dict(docs.dtypes)[text].startswith("array"):
+        return F.col(text)
+    kind = "short" if buckets <= 1 << 15 else "int"  # two bytes a gram, as all grams of a text lie in its row
+    place = lambda gram: bucket(gram, buckets).cast(kind)
+
+    def both(t: Column) -> Column:
+        after = F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1)))
+        # the last token has no successor: its null pair is cut off
+        twos = F.zip_with(t, after, lambda a, b: place(F.concat(a, F.lit(" "), b)))
+        return F.concat(F.transform(t, place), F.slice(twos, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
+
+    # an array of the one token list binds it, so a text is cut once and not at each use
+    listed = F.array(tokens(F.lower(F.col(text)), "word_or_mark"))
+    return F.coalesce(F.get(F.transform(listed, both), F.lit(0)), F.array().cast(f"array<{kind}>"))
+
+
+def hashed(docs: DataFrame, id: str, text: str, buckets: int = NGRAM_BUCKETS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the n-gram buckets in place of the text, settled: texts are cut and hashed once for all later passes.
+
+    Some two bytes a gram are written, which is about the size of the text. ``keep`` names further columns.
+    """
+    shared_folder(docs.sparkSession)
+    return docs.select(id, *(keep or []), gram_buckets(docs, text, buckets).alias(text)).checkpoint()
 
 
 def ngram_features(docs: DataFrame, id: str, text: str, buckets: int = NGRAM_BUCKETS) -> DataFrame:
     """Hashed n-gram counts per document. A document's rows lie together, so partial counts precede the shuffle."""
     return (
-        ngrams(docs, id, text).select(id, bucket(F.col("gram"), buckets).alias("bucket"))
-        .groupBy(id, "bucket").agg(F.count(F.lit(1)).alias("n"))
+        docs.select(id, F.explode(gram_buckets(docs, text, buckets)).alias("bucket"))
+        .groupBy(id, F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def bucket_counts(docs: DataFrame, id: str, text: str, name: str, buckets: int) -> DataFrame:
     return (
-        ngrams(docs, id, text).groupBy(bucket(F.col("gram"), buckets).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias(name))
+        docs.select(F.explode(gram_buckets(docs, text, buckets)).alias("bucket"))
+        .groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias(name))
     )
 
 
@@ -66,12 +86,16 @@ def importance_weights(raw: DataFrame, ratios: DataFrame, id: str, text: str,
                        buckets: int = NGRAM_BUCKETS) -> DataFrame:
     """``(id, micro)``: the sum of a document's log ratios, in millionths; 0 for a document without tokens.
 
-    The ratio table has at most ``buckets`` rows, so it is broadcast; sums start map-side, before the only shuffle.
+    The ratio table has at most ``buckets`` rows, so each task gets it as one array. A text is summed where its buckets lie, and
+    only (id, sum) is shuffled, for rows that share an id.
     """
-    grams = ngrams(raw, id, text).select(id, bucket(F.col("gram"), buckets).alias("bucket"))
-    scored = grams.join(F.broadcast(ratios), "bucket").select(id, "micro")
-    every = raw.select(id, F.lit(0).cast("long").alias("micro"))
-    return scored.unionByName(every).groupBy(id).agg(F.sum("micro").alias("micro"))
+    # a row per bucket, in order, as one array: `buckets` numbers of 8 bytes
+    every = raw.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(ratios, "bucket", "left")
+    rows = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("micro", F.lit(0).cast("long")).alias("micro"))))
+    table = every.agg(F.transform(rows, lambda r: r["micro"]).alias("table")).scalar()
+    placed = raw.select(id, gram_buckets(raw, text, buckets).alias("_b"), table.alias("_table"))
+    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get("_table", b.cast("int")))
+    return placed.select(id, total.alias("micro")).groupBy(id).agg(F.sum("micro").alias("micro"))
 
 
 def gumbel_micro(seed: int | str, key: Column) -> Column:
@@ -106,15 +130,21 @@ def resample_keys(weights: DataFrame, id: str, n: int, seed: int | str) -> DataF
 
 
 def resample(raw: DataFrame, target: DataFrame, id: str, text: str, target_id: str, target_text: str,
-             n: int, seed: int | str = 42, buckets: int = NGRAM_BUCKETS, min_chars: int = 0) -> DataFrame:
+             n: int, seed: int | str = 42, buckets: int = NGRAM_BUCKETS, min_chars: int = 0, grams: DataFrame | None = None) -> DataFrame:
     """``n`` raw documents drawn without replacement by importance weight (Gumbel top-n).
 
+    Raw texts are cut into n-grams once; ratios and weights are two passes over their buckets. ``grams`` is ``hashed(raw, ...)`` where the
+    caller has it; the target may be rows of such a table too.
+
     Up to BROADCAST_KEYS drawn ids and scores (16 bytes each for number ids) go to the documents as a broadcast, so the
     texts are filtered where they lie; a larger draw is joined by shuffle.
     """
-    ratios = log_ratios(raw, target, id, text, target_id, target_text, buckets)
     pool = raw.where(F.length(text) >= min_chars) if min_chars else raw
-    keys = resample_keys(importance_weights(pool, ratios, id, text, buckets), id, n, seed)
+    if grams is None:
+        grams = hashed(raw, id, text, buckets)
+    ratios = log_ratios(grams, target, id, text, target_id, target_text, buckets)
+    drawable = hashed(pool, id, text, buckets) if min_chars else grams
+    keys = resample_keys(importance_weights(drawable, ratios, id, text, buckets), id, n, seed)
     numbers = dict(raw.dtypes)[id] in ("bigint", "int")
     return pool.join(F.broadcast(keys) if numbers and n <= BROADCAST_KEYS else keys, id)
 

@@ -30,13 +30,16 @@ def dsir_ngram_features(spark, d):
 
 
 def dsir_importance_weights(spark, d):
-    docs = _docs(spark, d)
+    docs = sampling.hashed(_docs(spark, d), "doc_id", "text")
     ratios = sampling.log_ratios(docs, views.table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
     return sampling.importance_weights(docs, ratios, "doc_id", "text")
 
 
 def dsir_resample(spark, d):
-    drawn = sampling.resample(_docs(spark, d), views.labeled(spark, d), "doc_id", "text", "doc_id", "text", DRAWN, SEED)
+    docs = _docs(spark, d)
+    grams = sampling.hashed(docs, "doc_id", "text")
+    target = views.labeled(spark, d, grams)
+    drawn = sampling.resample(docs, target, "doc_id", "text", "doc_id", "text", DRAWN, SEED, grams=grams)
     return drawn.select("doc_id", "score", "text")
 
 

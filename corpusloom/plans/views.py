@@ -233,10 +233,10 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized_join(docs, questions, ["_item"], "inner", ["doc_id"]).drop("_item")
 
 
-def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a good quality label: the DSIR target."""
+def labeled(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Documents with a good quality label: the DSIR target. ``docs`` may give rows made of the documents instead."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return documents(spark, sf_dir).join(good, "doc_id", "left_semi")
+    return (documents(spark, sf_dir) if docs is None else docs).join(good, "doc_id", "left_semi")
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,26 @@ def test_dsir_against_brute_force(spark, target):
         assert {r["id"] for r in drawn.collect()} == set(best[:n])
 
 
+def test_texts_are_hashed_once(spark):
+    """Weights and draws from hashed rows equal brute force; texts are neither cut again nor is there a row a gram to be joined."""
+    schema = "id long, text string"
+    raw = spark.createDataFrame([*DOCS, (5, None), (6, "one")], schema)
+    grams_of = sampling.hashed(raw, "id", "text", 50)
+    target = grams_of.where("id in (0, 4, 5)")
+    ratios = sampling.log_ratios(grams_of, target, "id", "text", "id", "text", 50)
+    weighed = sampling.importance_weights(grams_of, ratios, "id", "text", 50)
+    plain = [*DOCS, (5, ""), (6, "one")]
+    want = weights(plain, [plain[0], plain[4], plain[5]], 50)
+    assert {r["id"]: r["micro"] for r in weighed.collect()} == want
+    plan = weighed._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "md5" not in plan
+    drawn = sampling.resample(raw, target, "id", "text", "id", "text", 3, 42, 50, grams=grams_of)
+    again = sampling.resample(raw, raw.where("id in (0, 4, 5)"), "id", "text", "id", "text", 3, 42, 50)
+    assert sorted(drawn.collect()) == sorted(again.collect()) and drawn.count() == 3
+    long = sampling.resample(raw, target, "id", "text", "id", "text", 9, 42, 50, min_chars=12)
+    assert {r["id"] for r in long.collect()} == {0, 3, 4}
+
+
 def test_ngram_features(spark):
     df = spark.createDataFrame(DOCS, "id long, text string")
     got = {(r["id"], r["bucket"]): r["n"] for r in sampling.ngram_features(df, "id", "text", 50).collect()}
