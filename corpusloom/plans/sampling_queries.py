@@ -75,10 +75,12 @@ def _mc_text(df):
 def mixture_build(spark, d):
     """Drawn documents of both language groups (10:1), capped training rows and benchmark texts of all six layouts, in hash order."""
     docs, target = _docs(spark, d), views.labeled(spark, d)
+    grams = sampling.hashed(docs, "doc_id", "text", keep=["lang"])
+    good = views.labeled(spark, d, grams)
     parts = []
     for foreign, n in ((True, DRAWN), (False, DRAWN_SMALL)):
         side = (F.col("lang") != "en") if foreign else (F.col("lang") == "en")
-        parts.append(sampling.resample(docs.where(side), target.where(side), "doc_id", "text", "doc_id", "text", n, SEED))
+        parts.append(sampling.resample(docs.where(side), good.where(side), "doc_id", "text", "doc_id", "text", n, SEED, grams=grams.where(side)))
     parts.append(sampling.cap_per_source(target, CAP, "source", "doc_id", SEED))
     formats = (fmt_multiple_choice_columns, fmt_passage_spans, fmt_definition_io, fmt_question_answer, fmt_option_pick, fmt_choice_arrays)
     parts += [f(spark, d) for f in formats]

@@ -226,7 +226,9 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     count = items.agg(F.count(F.lit(1))).scalar()
     questions = items.select(F.col("item_id").alias("_item"), F.col("text").alias("question"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), 0), 1, 3)
+    # cut from the head that holds them, not from all words of the text
+    head = F.regexp_extract("text", r"^(?:[ \t\n\r\f]*+[^ \t\n\r\f]++){0,3}", 0)
+    words = F.regexp_extract_all(head, F.lit(r"[^ \t\n\r\f]+"), 0)
     docs = documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("passage"), words.alias("spans"), (F.col("doc_id") % count).alias("_item")
     )

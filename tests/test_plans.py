@@ -1,7 +1,10 @@
 """What the plans must hold at scale."""
 
+import re
+
 import pytest
 
+from corpusloom.operators import sampling
 from corpusloom.plans import registry, views
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,28 @@ def test_queue_sorts_without_texts(spark):
     between = sort[: sort.index("Project")]
     assert "rangepartitioning(chars" in between and "conversation" not in between
     assert "AS chars" in sort[sort.index("Project"):].splitlines()[0]
+
+
+def test_mixture_hashes_all_texts_once(spark, monkeypatch):
+    """Both draws and their targets take their n-grams from one pass over the documents."""
+    made, real = [], sampling.gram_buckets
+
+    def counted(docs, text, *rest):
+        if not dict(docs.dtypes)[text].startswith("array"):
+            made.append(text)
+        return real(docs, text, *rest)
+
+    monkeypatch.setattr(sampling, "gram_buckets", counted)
+    registry.QUERIES["mixture_build"](spark, SF)
+    assert made == ["text"]
+
+
+def test_passages_take_three_words_from_the_head(spark, tmp_path):
+    """Not all words of a text are cut to have its first three; odd texts give the same as a cut of the whole."""
+    texts = [None, "", " \t ", "one", " two  words\n", "a b c", "\ta\x0bb\u3000c\rd e f ", "x" * 50_000, "w " * 20_000, "日本 \x85 é\u0301 z"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "q")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = views.passages(spark, str(tmp_path))
+    got = {r["doc_id"]: r["spans"] for r in df.collect()}
+    assert got == {i: t if t is None else re.findall(r"[^ \t\n\r\f]+", t)[:3] for i, t in enumerate(texts)}
+    assert "{0,3}" in df._jdf.queryExecution().optimizedPlan().toString()
