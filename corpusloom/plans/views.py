@@ -9,6 +9,7 @@ from corpusloom.functions import chat
 from corpusloom.functions.text import bucket, uuid5
 from corpusloom.operators import conversations as conv_ops
 from corpusloom.operators import translation
+from corpusloom.operators.sampling import BROADCAST_KEYS
 from corpusloom.operators.skew import sized_join
 from corpusloom.sources.readers import spread
 
@@ -236,8 +237,13 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labeled(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    """Documents with a good quality label: the DSIR target. ``docs`` may give rows made of the documents instead."""
+    """Documents with a good quality label: the DSIR target. ``docs`` may give rows made of the documents instead.
+
+    Up to BROADCAST_KEYS counted ids (16 bytes each) go to the documents, so that these are filtered where they lie at every size.
+    """
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    if good.count() <= BROADCAST_KEYS:
+        good = F.broadcast(good)
     return (documents(spark, sf_dir) if docs is None else docs).join(good, "doc_id", "left_semi")
 
 

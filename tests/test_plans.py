@@ -72,3 +72,14 @@ def test_passages_take_three_words_from_the_head(spark, tmp_path):
     got = {r["doc_id"]: r["spans"] for r in df.collect()}
     assert got == {i: t if t is None else re.findall(r"[^ \t\n\r\f]+", t)[:3] for i, t in enumerate(texts)}
     assert "{0,3}" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labelled_documents_are_not_shuffled(spark):
+    """Beyond Spark's own threshold too, the counted ids go to the documents and not the texts to the ids."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(views.labeled(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
