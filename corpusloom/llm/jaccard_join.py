@@ -12,6 +12,10 @@ first q tokens by hash, all but the ``prefix - 1`` that it may lack are in any p
 tokens too. So a set of whose first q tokens too few are met in a second set has no link. What is left are copies, edited texts and
 texts of shared passages, and only their sets are indexed; their number grows with the corpus, not with its square.
 
+Tokens that no other of these sets has are in no link. Each set's others bound what it may share with any set, and sets (then
+pairs) of a bucket that this bound rules out are not compared: copies of one text that were edited too much each for itself have
+nearly all signatures in common, and are ruled out alone. Before the last comparison only tokens met in another component count.
+
 In a bucket of sets with one signature, all are compared to a pivot (in the first rounds each
 set to one pivot only, the first of all its buckets), and linked sets are joined; only buckets whose sets are then still apart are compared further, first by more pivots, last pair
 by pair. A link within one component cannot change a component, hence is not looked for. Every pair is first bounded by the
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_arrow, per_text, settle, small_side, without
+from corpusloom.llm.common import TASK_ROWS, map_arrow, per_text, settle, small_side, without
 from corpusloom.llm.graph import components
 from corpusloom.llm.hashing import mix, shingle_sets
 
@@ -46,6 +50,7 @@ class Rule:
     classes: int = 64
     single_rounds: int = 2
     pivot_rounds: int = 5
+    pairs_a_row: int = 8  # of open buckets, left to compare for each row of them, from which on pairs are compared
     broadcast_ids: int = 200_000
     probe: int = 60  # tokens beyond the prefix that are looked up to leave sets out, in percent of the prefix
 
@@ -193,16 +198,32 @@ def _often(sets: DataFrame, tokens: str, frequent: DataFrame, few: bool) -> Data
     return map_arrow(sets, work, f"{columns}, often array<bigint>")
 
 
+def _may_link(n: Column, m: Column, most: Column, other: Column, rule: Rule) -> Column:
+    """Whether sets of n and m tokens that share at most ``most`` and ``other`` of them with any set may be similar enough."""
+    return (100 + rule.percent) * F.least(most, other) >= rule.percent * (n + m)
+
+
 def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, row, n): the signatures of every set that has tokens."""
+    """(sig, row, n, most): the signatures of every set that has tokens and may have a link; ``most`` is how many others may share.
+
+    A token met in one set only is in no link, so it counts as lacking on either side before sets are compared.
+    """
     # counted over whole sets: the smallest hashes alone would miss most of the tokens that shared passages make frequent
-    tokens = _token_sets(docs, rule).select(F.explode("tokens").alias("token"))
-    frequent = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > rule.frequent).select("token"))
+    tokens = _token_sets(docs, rule).select("row", F.explode("tokens").alias("token"))
+    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("row").alias("row")).where((F.col("sets") == 1) | (F.col("sets") > rule.frequent))
+    single = F.col("sets") == 1
+    met = settle(met.select(F.when(single, F.col("row")).alias("row"), F.when(~single, F.col("token")).alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("own")))
+    frequent = met.where("token is not null").select("token")
     few = frequent.count() <= rule.broadcast_ids  # 8 bytes each
+    # an id with several sets has one count for all of them, which bounds none
+    repeated = small_side(settle(sets.groupBy("row").count().where("count > 1").select("row")))
+    own = met.where("token is null").select("row", "own").join(repeated, "row", "left_anti")
+    sets = sets.join(own, "row", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("most") >= rule.percent * F.col("n"))
+    sets = settle(sets.select("row", "n", "most", "head"))
     need = _need(rule)
-    parted = _often(sets.select("row", "n", "head"), "head", frequent, few)
-    parted = parted.select("row", "n", F.when(F.size("often") == 0, F.col("head")).otherwise(F.array_except("head", "often")).alias("rare"))
-    plain = parted.where(F.size("rare") >= need).select("row", "n", F.explode(F.slice("rare", F.lit(1), need.cast("int"))).alias("sig"))
+    parted = _often(sets, "head", frequent, few)
+    parted = parted.select("row", "n", "most", F.when(F.size("often") == 0, F.col("head")).otherwise(F.array_except("head", "often")).alias("rare"))
+    plain = parted.where(F.size("rare") >= need).select("row", "n", "most", F.explode(F.slice("rare", F.lit(1), need.cast("int"))).alias("sig"))
     # too few rare tokens among the smallest: take the whole set and part it again
     whole = settle(_whole_sets(docs, settle(parted.where(F.size("rare") < need).select("row")), rule))
     again = _often(whole.select("row", "tokens"), "tokens", frequent, few)
@@ -222,7 +243,8 @@ def _indexed(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 own = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays([rows.take(own), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found))], names=["row", "n", "sig"])
 
-    return plain.unionByName(settle(map_arrow(again.select("row", "tokens", "often"), work, f"row {row_type}, n long, sig long")))
+    more = settle(map_arrow(again.select("row", "tokens", "often"), work, f"row {row_type}, n long, sig long"))
+    return plain.unionByName(more.join(sets.select("row", "n", "most").distinct(), ["row", "n"]))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -246,59 +268,77 @@ def _possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.where((100 + rule.percent) * most >= rule.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that link."""
-    whole = settle(_whole_sets(docs, settle(_ends(pairs)), rule))
+def _verified(whole: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that link; ``whole`` has the (row, tokens) of their sets at least."""
     side = lambda x: whole.select(F.col("row").alias(x), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return both.where((100 + rule.percent) * shared >= rule.percent * (F.size("t_a") + F.size("t_b"))).select("a", "b")
 
 
-def _fits(a: Column, b: Column, rule: Rule) -> Column:
-    """Sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
+def _outside(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """(row, most): how many tokens of each set are in a set of another component, of the sets in ``parts`` (row, component)."""
+    tokens = whole.join(parts, "row").select("row", "component", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    return tokens.join(shared, "token").groupBy("row").agg(F.count(F.lit(1)).alias("most"))
+
+
+def _hopeful(buckets: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of buckets (sig, row, n, most and others) without those that may link with no set of the smallest size in their bucket."""
+    low = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("low")).where("sets > 1").select("sig", "low")
+    least = F.greatest(F.col("low"), F.expr(f"({rule.percent} * n + 99) div 100"))
+    return buckets.join(low, "sig").where((100 + rule.percent) * F.col("most") >= rule.percent * (F.col("n") + least)).select(*buckets.columns)
 
 
 def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(links, components): verified links that connect all sets that links connect, and (node, component) of linked sets."""
-    index = _indexed(docs, sets, rule)
-    shared = settle(index.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("sig"))
-    buckets = settle(index.join(shared, "sig"))
-    links = labels = None
+    buckets = settle(_hopeful(_indexed(docs, sets, rule), rule))
+    links = labels = whole = size = None
     for turn in range(rule.pivot_rounds + 1):
-        order = F.struct(F.xxhash64("row", F.lit(turn)), "row", "n")
+        order = F.struct(F.xxhash64("row", F.lit(turn)), "row", "n", "most")
+        last = False
         if labels is None:
             open_buckets = buckets.withColumn("component", F.col("row"))
         else:
-            named = buckets.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-            named = settle(named)
-            apart = settle(named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig"))
-            open_buckets = settle(named.join(apart, "sig"))
-            if open_buckets.isEmpty():
+            named = buckets.join(small_side(labels.withColumnRenamed("node", "row")), "row", "left").withColumn("component", F.coalesce("component", "row"))
+            apart = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+            open_buckets = settle(named.join(apart, "sig").select("sig", "row", "n", "most", "component"), size)
+            size = open_buckets.count()
+            if not size:
                 break
+            # what is joined stays joined, so only these buckets and sets are looked at from now on
+            open_buckets = open_buckets.coalesce(1 + size // TASK_ROWS)
+            buckets = open_buckets.drop("component")
+            if whole is None:
+                whole = settle(_whole_sets(docs, settle(buckets.select("row").distinct(), size), rule))
             # pairs left to compare, against rows: few enough, or the pivots have had their turns
             sizes = open_buckets.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("sig").agg(
                 F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-            left, rows = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
-            last = turn == rule.pivot_rounds or left <= 20 * rows
-            if last:
-                other = open_buckets.select("sig", F.col("row").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
-                pairs = open_buckets.withColumnRenamed("row", "a").join(other, "sig").where(
-                    (F.col("a") < F.col("b")) & (F.col("component") != F.col("far")) & _fits(F.col("n"), F.col("m"), rule))
-        if labels is None or not last:
-            pivots = settle(open_buckets.groupBy("sig").agg(F.min(order).alias("p"), F.min_by("component", order).alias("far")))
-            pairs = open_buckets.join(pivots, "sig").where((F.col("row") != F.col("p.row")) & _fits(F.col("n"), F.col("p.n"), rule))
-            if labels is not None:
-                pairs = pairs.where(F.col("component") != F.col("far"))
+            left = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0]
+            last = turn == rule.pivot_rounds or left <= rule.pairs_a_row * size
+        if last:
+            most = settle(_outside(whole, open_buckets.select("row", "component").distinct()), size)
+            open_buckets = settle(_hopeful(open_buckets.drop("most").join(most, "row").repartition("sig"), rule))
+            other = open_buckets.select("sig", F.col("row").alias("b"), F.col("n").alias("m"), F.col("most").alias("other"), F.col("component").alias("far"))
+            pairs = open_buckets.withColumnRenamed("row", "a").join(other, "sig").where(
+                (F.col("a") < F.col("b")) & (F.col("component") != F.col("far")) & _may_link(F.col("n"), F.col("m"), F.col("most"), F.col("other"), rule))
+        else:
+            pivots = settle(open_buckets.groupBy("sig").agg(F.min(order).alias("p"), F.min_by("component", order).alias("far")), size)
+            pairs = open_buckets.join(pivots, "sig").where(
+                (F.col("row") != F.col("p.row")) & (F.col("component") != F.col("far")) & _may_link(F.col("n"), F.col("p.n"), F.col("most"), F.col("p.most"), rule))
             if turn < rule.single_rounds:  # the first pivot of all of a row's buckets: one pair a row joins most of a large group
                 pairs = pairs.groupBy("row").agg(F.min("p").alias("p"))
             pairs = pairs.select(F.least("row", "p.row").alias("a"), F.greatest("row", "p.row").alias("b"))
-        found = _possible(settle(pairs.select("a", "b").distinct()), sets, rule)
-        found = settle(_verified(docs, settle(found), rule))
-        links = found if links is None else settle(links.unionByName(found))
+        pairs = settle(pairs.select("a", "b").distinct(), size)
+        if whole is None:
+            pairs = settle(_possible(pairs, sets, rule))
+            compared = settle(_whole_sets(docs, settle(_ends(pairs)), rule))
+        else:
+            compared = whole
+        found = settle(_verified(compared, pairs, rule))
+        links = found if links is None else settle(links.unionByName(found), size)
         labels = components(links)
-        if turn and last:
+        if last:
             break
     return links, labels
 

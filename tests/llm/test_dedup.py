@@ -131,6 +131,30 @@ def test_near_empty_and_repeated(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("1", "1"), ("2", "1"), ("None", "None")]
 
 
+def test_far_copies_of_one_text_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies with too many words of their own for any link, beside linked ones; one id has two texts."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+
+    def copy(j, edits):
+        at = set(rng.sample(range(0, 300, 5), edits))
+        return " ".join(f"own{j}x{i}" if i in at else w for i, w in enumerate(base))
+
+    rows = [(j, copy(j, 8)) for j in range(1, 81)] + [(j, copy(j, j % 3)) for j in range(81, 90)]
+    pair = [f"p{i}" for i in range(200)]
+    rows += [(100, " ".join(pair)), (101, " ".join([*pair[:-1], "end"])), (101, " ".join(f"q{i}" for i in range(900)))]
+    compared, verified = [], jaccard_join._verified
+
+    def counted(sets, pairs, rule):
+        compared.append(pairs.count())
+        return verified(sets, pairs, rule)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.near_duplicates(frame(spark, rows)).collect()}
+    want = {(i, n): c for i, (n, c) in plain_near(rows[:-1]).items()} | {(101, 897): 100}
+    assert got == want and sum(compared) < 3 * len(rows)
+
+
 PASSAGE = "The first line of the passage has nine words. " + " ".join(f"Sentence {c} says that one more thing is so." for c in "abcdef")
 
 
