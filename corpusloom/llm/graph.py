@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import settle
+from corpusloom.llm.common import settle, settle_sized
 from corpusloom.operators.skew import HOT_ROWS, salted_join
 
 #: Link rows, twice a link, that one task works on in each round.
@@ -18,23 +18,30 @@ def components(links: DataFrame, hot_rows: int = HOT_ROWS, short: int = SHORT) -
     Each round, a node takes the smallest label among itself and its neighbours, then the label of that label, so reach
     doubles. Minima are taken map-side. Where there are ``hot_rows`` link rows or more, those of a node with that many are dealt
     to several tasks to meet its label, and so are the nodes of a large component; fewer fit one task whatever node they have.
-    Up to ``short`` link rows are left in one partition, so that rounds over them shuffle nothing.
+    Up to ``short`` link rows are left in one partition, so that rounds over them shuffle nothing. Labels are never broadcast here,
+    however small their files are; count the result before it is.
     """
     def join(many: DataFrame, one: DataFrame, on: str) -> DataFrame:
-        return salted_join(many, one, [on], "inner", ["node"], hot_rows) if large else many.join(one, on)
+        return salted_join(many, one, [on], "inner", ["node"], hot_rows) if large else many.join(one.hint("merge"), on)
 
-    both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(1) if few else rows
+
+    whole = links.where("a is not null and b is not null")
+    both = settle(whole.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        whole.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     size = both.count()
-    large, few = size >= hot_rows, 0 if size < min(short, hot_rows) else None  # rows for settle: 0 is one task
-    if few is not None:
-        both = both.coalesce(1)
-    labels = settle(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("component")), few)
+    large, few = size >= hot_rows, size < min(short, hot_rows)
+    if few:
+        both = together(settle_sized(together(both)))
+    labels = together(settle_sized(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("component"))))
+    nothing = F.lit(None).cast(labels.schema["component"].dataType)
     while True:
-        near = join(both, labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        closer = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        met = join(both, labels.withColumnRenamed("node", "other"), "other").select("node", "component", nothing.alias("was"))
+        own = together(met.unionByName(labels.withColumn("was", F.col("component"))))
+        closer = together(settle_sized(own.groupBy("node").agg(F.min("component").alias("component"), F.min("was").alias("was"))))
         onward = closer.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        stepped = settle(join(closer, onward, "component").select("node", F.least("component", "far").alias("component"), "was"), few)
+        stepped = together(settle_sized(join(closer, onward, "component").select("node", F.least("component", "far").alias("component"), "was")))
         labels = stepped.select("node", "component")
         if stepped.where("component < was").isEmpty():
             return labels

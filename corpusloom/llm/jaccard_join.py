@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rul
     some = leaders.join(small_side(kept), "row", "left_semi")
     sets = settle(_first_tokens(some, rule, head_size).where("n > 0"))
     _, labels = link_sets(some, sets, rule)
-    member = settle(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select(*same, "class", F.coalesce("component", "class").alias("component")))
+    member = settle(classes.join(labels.withColumnRenamed("node", "class").hint("merge"), "class", "left").select(*same, "class", F.coalesce("component", "class").alias("component")))
     narrow = rows.select("row", *same)
     alone = F.expr("n = 0 or row is null")
     joined = narrow.where(~alone).join(member, same).select("row", "n", "component", "class").unionByName(
