@@ -432,6 +432,20 @@ def test_kneser_ney_sums_to_one_and_equals_a_plain_version(spark):
         assert abs(chance(g, [three, two, one]) - p[g]) < 1e-5, g
 
 
+@pytest.mark.parametrize("known", [0, 5, 200])
+def test_trigram_counts_are_those_of_all_texts(spark, known):
+    """Every place of every text counts once, whether or not its characters are in the table, in texts longer than a chunk too."""
+    draw = random.Random(5)
+    letters = [chr(c) for c in [*range(97, 123), *range(0x4E00, 0x4E00 + 300), 0, 0xE9, 0x1F600, 0x10FFFF]]
+    texts = ["".join(draw.choices(letters, k=draw.randrange(40))) for _ in range(300)] + [None, "", "a", "".join(draw.choices(letters, k=quality_lm.CHUNK + 7)), "ab" * 50]
+    docs = frame(spark, list(enumerate(texts)))
+    characters = quality_lm.common_characters(docs, "text")[:known]
+    got = {(r.u, r.v, r.w): r.c for r in quality_lm.trigram_counts(docs, "text", characters).collect()}
+    edge = quality_lm.END
+    assert got == Counter(g for t in texts for s in [[edge, edge, *map(ord, t or ""), edge]] for g in zip(s, s[1:], s[2:], strict=False))
+    assert sum(got.values()) == sum(len(t or "") + 1 for t in texts)
+
+
 def test_texts_start_as_often_as_in_the_trusted_ones(spark, monkeypatch):
     """Bigrams of the mark before a text keep their counts, so the lower order knows how texts begin, and all sums are 1."""
     texts = ["abc"] * 6 + ["acb"] * 3 + ["bca", "bac", "cab"] + ["dab"]
